@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewater.session import materialize, ship
 
@@ -108,6 +109,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k
     weights, bias = train(docs, labels, key, text)
     model = spark.sparkContext.broadcast(weights)
     keep = docs.drop("score", "predicted", "held_out")
-    schema = keep.schema.add("score", "double")
+    schema = StructType(list(keep.schema.fields)).add("score", "double")
     rows = keep.withColumn("_body", F.col(text)).mapInArrow(lambda it: _score(it, model.value, bias), schema)
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumn("held_out", held_out(key))
