@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.session import table
+from tidewater.functions.keys import camel_key, checked_double, checked_integer
+from tidewater.operators.chunk_partials import chunk_prefixes, escape_json
+from tidewater.operators.json_partials import byte_partials, decode_prefix, finish_reason
+from tidewater.operators.yaml_blocks import block_mapping, block_sequence, folded_block, literal_block
+from tidewater.session import scratch_path, ship, table
+from tidewater.streaming.chunks import OUTPUT, streaming_prefixes
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +20,125 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(props["k"]).alias("sum_k"), F.count("*").alias("n"))
 
 
+def json_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every state of every payload, one character a step."""
+    states = byte_partials(table(spark, sf_dir, "events"), "event_id", "props", "k bigint")
+    return states.select("event_id", F.col("seq").cast("bigint").alias("seq"), F.col("state.k").alias("k"))
+
+
+def json_partials_by_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = byte_partials(table(spark, sf_dir, "events"), "event_id", "props", "k bigint", step=3)
+    return states.select("event_id", F.col("seq").cast("bigint").alias("seq"), F.col("state.k").alias("k"))
+
+
+def json_chunk_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as one JSON string member, a turn a chunk: the string as far as it has been read."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", escape_json(F.coalesce("text", F.lit(""))).alias("chunk"))
+    rows = chunk_prefixes(turns, "conv_id", "turn", "chunk")
+    state = decode_prefix(F.concat(F.lit('{"said":"'), "prefix"), "said string")
+    return rows.select("conv_id", "turn", F.length(state["said"]).cast("bigint").alias("n_chars"), F.md5(state["said"]).alias("said_md5"))
+
+
+def json_number_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and counts read as kinds of different ranges: values and the reasons of those refused."""
+    token = F.get_json_object("props", "$.k")
+    small, why = checked_integer(token, "int8")
+    big, over = checked_double(F.concat(token, F.lit("e307")))
+    rows = table(spark, sf_dir, "events").select("event_id", small.alias("k8"), why.alias("k8_reason"), over.alias("d_reason"))
+    return rows.select("event_id", F.col("k8").cast("bigint").alias("k8"), "k8_reason", "d_reason")
+
+
+def json_finish_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads cut at a length that depends on the event, and what their end lacks."""
+    cut = F.col("props").substr(F.lit(1), (F.col("event_id") % 9).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", finish_reason(cut).alias("reason"))
+
+
+def snake_case_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("_"), F.lower(F.regexp_replace("p_type", " ", "_")), F.lit("__"))
+    return table(spark, sf_dir, "part").select("p_partkey", camel_key(key).alias("key"))
+
+
+def yaml_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as block mappings and read back."""
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    lines = [F.concat(F.lit(f"{n}: "), F.when(F.lit(n == "o_orderpriority"), F.concat(F.lit(chr(34)), n, F.lit(chr(34)))).otherwise(F.col(n).cast("string"))) for n in names]
+    text = F.concat_ws("\n", F.lit("# order"), *lines)
+    row = table(spark, sf_dir, "orders").select(block_mapping(text).alias("m"))
+    return row.select(*[F.col("m")[n].cast("bigint" if n.endswith("key") else "string").alias(n) for n in names])
+
+
+def yaml_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers of each order written as a block sequence and read back."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("l_linenumber")), lambda n: F.concat(F.lit("- "), n.cast("string"))), "\n")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(text.alias("y"))
+    back = F.transform(block_sequence(F.col("y")), lambda v: v.cast("bigint"))
+    return rows.select("l_orderkey", F.size(back).cast("bigint").alias("n"), F.aggregate(back, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"))
+
+
+def yaml_block_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as literal and as folded scalars, and their values."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \n]+|\n+\z", "")
+    body = F.concat(F.lit("  "), F.regexp_replace(said, "\n", "\n  "))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("b"))
+    return rows.select("conv_id", "turn", F.md5(literal_block(F.col("b"))).alias("literal_md5"), F.length(folded_block(F.col("b"))).cast("bigint").alias("n_folded"))
+
+
+def stream_chunk_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """json_chunk_partials over a stream: state per conversation, prefixes decoded as they arrive."""
+    ship(spark)
+    source = table(spark, sf_dir, "conversations")
+    out, progress = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-progress")
+    # A glob, because the streaming reader takes a plain path for a folder and the table may be one file.
+    chunks = spark.readStream.schema(source.schema).parquet(f"{sf_dir.rstrip('/')}/conversations.parque[t]")
+    rows = streaming_prefixes(chunks.withColumn("chunk", escape_json(F.coalesce("text", F.lit("")))), "conv_id", "turn", "chunk")
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    state = decode_prefix(F.concat(F.lit('{"said":"'), "prefix"), "said string")
+    done = spark.read.schema(OUTPUT).parquet(out)
+    return done.select(F.col("stream").alias("conv_id"), F.col("seq").alias("turn"), F.length(state["said"]).cast("bigint").alias("n_chars"), F.md5(state["said"]).alias("said_md5"))
+
+
+QUERIES = [json_partials, json_partials_by_3, json_chunk_partials, json_number_kinds, json_finish_reasons, snake_case_keys, yaml_mapping, yaml_sequence, yaml_block_scalars, stream_chunk_partials]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"json_final_props": flagship}
+    return {"json_final_props": flagship} | {q.__name__: q for q in QUERIES}
+
+
+def _states_sql(step: int) -> str:
+    return f"""
+SELECT event_id, CAST(i AS BIGINT) AS seq,
+  TRY_CAST(regexp_extract(substr(props, 1, CAST(least((i + 1) * {step}, length(props)) AS INTEGER)), ':\\s*(-?[0-9]+)', 1) AS BIGINT) AS k
+FROM events, unnest(range(CAST(ceil(length(props) / {step}.0) AS BIGINT) + 1)) AS r(i) WHERE props IS NOT NULL"""
+
+
+_CHUNK_SQL = """
+SELECT conv_id, turn, CAST(length(said) AS BIGINT) AS n_chars, md5(said) AS said_md5
+FROM (SELECT conv_id, turn, string_agg(coalesce(text, ''), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS said FROM conversations)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"json_final_props": "SELECT event_type, CAST(SUM(CAST(json_extract(props,'$.k') AS BIGINT)) AS BIGINT) AS sum_k, COUNT(*) AS n FROM events GROUP BY event_type"}
+    k = "CAST(json_extract(props, '$.k') AS BIGINT)"
+    return {
+        "json_final_props": f"SELECT event_type, CAST(SUM({k}) AS BIGINT) AS sum_k, COUNT(*) AS n FROM events GROUP BY event_type",
+        "json_partials": _states_sql(1),
+        "json_partials_by_3": _states_sql(3),
+        "json_chunk_partials": _CHUNK_SQL,
+        "stream_chunk_partials": _CHUNK_SQL,
+        "json_number_kinds": f"""
+SELECT event_id, CASE WHEN {k} BETWEEN -128 AND 127 THEN {k} END AS k8,
+  CASE WHEN {k} NOT BETWEEN -128 AND 127 THEN 'numericOverflow' END AS k8_reason,
+  CASE WHEN {k} >= 18 THEN 'numericOverflow' END AS d_reason FROM events""",
+        "json_finish_reasons": """
+SELECT event_id, CASE WHEN event_id % 9 IN (2, 3) THEN 'unterminatedString'
+  WHEN event_id % 9 > 0 AND NOT contains(substr(props, 1, CAST(event_id % 9 AS INTEGER)), '}') THEN 'missingClosingBrace' END AS reason FROM events""",
+        "snake_case_keys": """
+SELECT p_partkey, CASE WHEN strpos(p_type, ' ') = 0 THEN '_' || lower(p_type) || '__' ELSE '_' || list_reduce(
+  list_transform(string_split(lower(p_type), ' '), lambda w, i: CASE WHEN i = 1 THEN w ELSE upper(w[1]) || w[2:] END), lambda a, b: a || b) || '__' END AS key FROM part""",
+        "yaml_mapping": "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders",
+        "yaml_sequence": "SELECT l_orderkey, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY l_orderkey",
+        "yaml_block_scalars": r"""
+SELECT conv_id, turn, md5(said) AS literal_md5,
+  CAST(length(regexp_replace(said, '\n{2,}', E'\n\n', 'g')) AS BIGINT) AS n_folded
+FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^[ \n]+|\n+$', '', 'g') AS said FROM conversations)""",
+    }
