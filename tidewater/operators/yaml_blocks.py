@@ -27,8 +27,12 @@ def block_mapping(text: Column) -> Column:
     """map<string,string> of a flat `key: value` mapping; of two equal keys the last counts."""
     entries = F.transform(_lines(text), lambda m: F.struct(F.regexp_extract(m, _MEMBER, 1).alias("k"), scalar(F.regexp_extract(m, _MEMBER, 2)).alias("v")))
     entries = F.filter(entries, lambda e: e["k"] != "")
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
-    return F.map_from_entries(last)
+
+    def last_of_each(es: Column) -> Column:
+        return F.map_from_entries(F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["k"] == e["k"])))
+
+    # Bound as a lambda's argument, the entries are parsed once however often they are named.
+    return F.transform(F.array(entries), last_of_each)[0]
 
 
 def block_sequence(text: Column) -> Column:

@@ -64,7 +64,8 @@ def yaml_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
     lines = [F.concat(F.lit(f"{n}: "), F.when(F.lit(n == "o_orderpriority"), F.concat(F.lit(chr(34)), n, F.lit(chr(34)))).otherwise(F.col(n).cast("string"))) for n in names]
     text = F.concat_ws("\n", F.lit("# order"), *lines)
-    row = table(spark, sf_dir, "orders").select(block_mapping(text).alias("m"))
+    # Through a generator the map is built once, not once for each member taken from it.
+    row = table(spark, sf_dir, "orders").select(F.explode(F.array(block_mapping(text))).alias("m"))
     return row.select(*[F.col("m")[n].cast("bigint" if n.endswith("key") else "string").alias(n) for n in names])
 
 
