@@ -38,3 +38,14 @@ def test_edges(spark):
     assert len(rows) == 5 and sorted(r.n_chars for r in rows)[:4][0] == 0
     assert max(r.n_chars for r in rows) == 20_000 * 7 - 2
     assert extract_text(frame.limit(0)).count() == 0
+
+
+def test_text_before_linked_blocks_stays_and_link_lists_go():
+    tree = trained()
+    body = ("Some long plain sentence with many words in it, " * 6).strip()
+    links = "".join(f"<li><a href=/{i}>Another page {i}</a></li>" for i in range(4))
+    for after in ("<footer><a href=/>Imprint</a></footer>", "<nav><a href=/>Home</a></nav>", f"<div><ul>{links}</ul></div>"):
+        assert main_text(f"<body><article><h1>A title of it</h1><p>{body}</p><p>The end.</p></article>{after}</body>", tree) == f"A title of it\n\n{body}\n\nThe end."
+        assert main_text(f"<body><div><p>{body}</p><p>{body}</p></div>{after}</body>", tree) == f"{body}\n\n{body}"
+    assert main_text(f"<article><p>{body}</p><p><a href=/x>All of these parts</a></p><ul>{links}</ul><p>{body}</p></article>", tree) == f"{body}\n\n{body}"
+    assert main_text(f"<body><ul>{links}</ul><p>{body}</p><p>No.</p><p>{body}</p></body>", tree) == f"{body}\n\nNo.\n\n{body}"

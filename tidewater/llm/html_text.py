@@ -44,6 +44,13 @@ LABELLED = (
     (0, 1, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 1, 14, 0.0, 30, 0.0, 0, 0.0, 0), (0, 1, 9, 0.0, 1, 1.0, 10, 0.0, 0), (0, 1, 80, 0.0, 20, 0.0, 50, 0.0, 0), (0, 1, 45, 0.0, 70, 0.0, 8, 0.0, 0),
     (0, 0, 90, 0.0, 60, 0.0, 70, 0.0, 1), (0, 0, 35, 0.05, 12, 0.0, 40, 0.0, 1), (0, 0, 20, 0.0, 50, 0.0, 30, 0.0, 1), (0, 0, 6, 0.0, 2, 0.0, 85, 0.0, 1), (0, 0, 12, 0.0, 45, 0.0, 25, 0.0, 1),
     (0, 0, 2, 1.0, 2, 1.0, 2, 1.0, 0), (0, 0, 5, 0.9, 40, 0.0, 3, 1.0, 0), (0, 0, 4, 0.0, 3, 1.0, 2, 1.0, 0), (0, 0, 18, 0.8, 3, 1.0, 9, 0.7, 0), (0, 0, 3, 0.0, 0, 0.0, 2, 1.0, 0),
+    (1, 0, 70, 0.0, 90, 0.0, 3, 1.0, 1), (1, 0, 18, 0.1, 60, 0.0, 1, 1.0, 1), (1, 0, 6, 0.0, 40, 0.0, 2, 0.9, 1), (1, 0, 1, 0.0, 2, 1.0, 1, 1.0, 1), (1, 0, 45, 0.0, 3, 1.0, 4, 1.0, 1),
+    (0, 0, 60, 0.0, 80, 0.0, 2, 1.0, 1), (0, 0, 25, 0.1, 40, 0.0, 1, 1.0, 1), (0, 0, 110, 0.0, 2, 1.0, 3, 0.9, 1), (0, 0, 14, 0.0, 35, 0.0, 6, 0.8, 1), (0, 0, 40, 0.2, 1, 1.0, 1, 1.0, 1),
+    (1, 0, 2, 1.0, 3, 1.0, 2, 1.0, 0), (1, 0, 6, 1.0, 2, 1.0, 5, 0.9, 0), (1, 0, 12, 0.9, 9, 0.9, 14, 1.0, 0), (1, 0, 4, 1.0, 50, 0.0, 3, 1.0, 0), (1, 0, 3, 1.0, 4, 1.0, 0, 0.0, 0),
+    (0, 0, 3, 1.0, 60, 0.0, 4, 1.0, 0), (0, 0, 2, 1.0, 3, 1.0, 0, 0.0, 0), (0, 0, 30, 0.9, 25, 0.9, 28, 1.0, 0), (0, 0, 4, 1.0, 2, 1.0, 40, 0.0, 0), (0, 0, 2, 0.0, 70, 0.0, 3, 1.0, 0),
+    (0, 0, 2, 0.0, 60, 0.0, 45, 0.0, 1), (0, 0, 1, 0.0, 30, 0.0, 20, 0.0, 1), (0, 0, 4, 0.0, 80, 0.0, 0, 0.0, 1), (1, 0, 4, 1.0, 150, 0.0, 2, 1.0, 0), (0, 0, 3, 1.0, 120, 0.0, 3, 1.0, 0),
+    (1, 0, 4, 1.0, 80, 0.0, 3, 1.0, 0), (0, 0, 3, 1.0, 75, 0.0, 3, 1.0, 0), (0, 0, 5, 1.0, 85, 0.0, 0, 0.0, 0), (1, 0, 2, 1.0, 40, 0.0, 60, 0.0, 1), (1, 0, 3, 1.0, 4, 1.0, 40, 0.0, 0),
+    (1, 0, 5, 1.0, 140, 0.0, 30, 0.0, 1), (0, 0, 4, 1.0, 70, 0.0, 50, 0.0, 0), (0, 0, 3, 1.0, 120, 0.0, 15, 0.0, 0), (1, 0, 2, 1.0, 3, 1.0, 70, 0.0, 0), (1, 0, 3, 1.0, 9, 0.0, 25, 0.0, 1),
 )
 
 
