@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from tests.llm.brute import contaminated
@@ -45,3 +46,18 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert rows(D.contamination(frame, none)) == contaminated(docs, [])
     assert D.contamination(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_repeated_and_null_ids_are_judged_by_row(spark, monkeypatch):
+    hit, plain = " ".join(f"w{i}" for i in range(20)), "nothing of this is benchmark text " * 3
+    docs = [(1, hit), (1, plain), (1, plain), (None, hit), (None, plain), (2, "other " + " ".join(f"n{i}" for i in range(15)))]
+    items = [(7, hit), (None, " ".join(f"n{i}" for i in range(15))), (None, "z y x"), (8, hit)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = contaminated([(1, hit)], [(7, hit), (8, hit)])[1]
+    none = contaminated([(1, plain)], [])[1]
+    want = [(1, *one), (1, *none), (1, *none), (None, *one), (None, *none), (2, 16, 15, 1, hashlib.sha256(b"").hexdigest(), True)]
+    for size in (4 << 20, 100):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.contamination(frame, bench).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)

@@ -8,7 +8,9 @@ Only stretches of a document whose neighbouring words are also neighbours in som
 only these are indexed, with separators between them; nothing that could match is left out.
 
 Defined results: null, empty or wordless text has no words, no hits and is not contaminated; an item without words has no
-window; an item shorter than a window is one window; repeated items of one id count once; an empty benchmark hits nothing.
+window; an item shorter than a window is one window; repeated items of one id count once; items of null id are searched too
+and count as one item, null in items and the empty name in items_sha256; an empty benchmark hits nothing.  Each row of the
+documents is judged by itself, whatever its id: repeated and null ids give a row each.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.session import ship
+from tidewater.session import materialize, ship
 
 WINDOW = 13
 SAMPLE = 8
@@ -131,9 +133,9 @@ class FMIndex:
 class Windows:
     """The benchmark's windows in word numbers, by length, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]]):
         self.ids: dict[bytes, int] = {}
-        held: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        held: dict[int, dict[tuple[int, ...], set[int | None]]] = {}
         pairs, singles = set(), set()
         for item, text in items:
             seq = [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]
@@ -168,7 +170,7 @@ class Windows:
         return seq, [(int(s), int(s + n)) for s, n in zip(start[good], size[good], strict=True)]
 
 
-def _search(shard: list[tuple[int, np.ndarray, list[tuple[int, int]]]], windows: Windows) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
+def _search(shard: list[tuple[int, np.ndarray, list[tuple[int, int]]]], windows: Windows) -> dict[int, tuple[list[tuple[int, int]], set[int | None]]]:
     """For each document of the shard with occurrences: its spans, and the items."""
     parts, docs, origin = [], [], []
     for place, seq, ranges in shard:
@@ -181,7 +183,7 @@ def _search(shard: list[tuple[int, np.ndarray, list[tuple[int, int]]]], windows:
     parts.append(np.zeros(1, np.int64))
     text, doc, at = np.concatenate(parts), np.concatenate(docs), np.concatenate(origin)
     index = FMIndex(text, windows.vocabulary + 1)
-    found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
+    found: dict[int, tuple[list[tuple[int, int]], set[int | None]]] = {}
     for width, phrases, items in windows.phrases:
         low, high = index.search(phrases + 2)
         n = high - low
@@ -212,9 +214,9 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.Re
 
         def flush(shard, spans=spans, items=items):
             for place, (s, names) in _search(shard, windows).items():
-                spans[place], items[place] = [list(x) for x in merged(s)], sorted(names)
+                spans[place], items[place] = [list(x) for x in merged(s)], sorted(names, key=lambda x: (x is None, x or 0))
 
-        for place, t in enumerate(b.column(1)):
+        for place, t in enumerate(b.column(b.num_columns - 1)):
             words = words_of(t.as_py())
             n.append(len(words))
             seq, ranges = windows.stretches(words)
@@ -225,31 +227,38 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.Re
                     flush(shard)
                     shard, held = [], 0
         flush(shard)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.int64()))], ["id", "n_words", "spans", "items"])
+        out = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(out, [*b.schema.names[:-1], "n_words", "spans", "items"])
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_words, spans (merged word ranges, end exclusive) and the items that occur.
 
-    The benchmark is gone through in blocks of about BLOCK_BYTES, whatever its size; each block is one pass.
+    The benchmark is gone through in blocks of about BLOCK_BYTES, whatever its size; each block is one pass.  Where there
+    are several, rows get a key that is written before the first, and the passes' results are put together by it.
     """
     spark = docs.sparkSession
     ship(spark)
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // BLOCK_BYTES
+    if blocks > 1:
+        src = materialize(src.select(F.monotonically_increasing_id().alias("row"), "id", "body"), "rows")
+    given = ", ".join(f"{c} long" for c in src.columns[:-1])
     passes = []
     for i in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i) if blocks > 1 else bench
         windows = Windows([(r.item_id, r.text) for r in part.collect()])
-        passes.append(src.mapInArrow(lambda it, w=windows: _scan(it, w), "id long, n_words long, spans array<array<long>>, items array<long>"))
+        passes.append(src.mapInArrow(lambda it, w=windows: _scan(it, w), f"{given}, n_words long, spans array<array<long>>, items array<long>"))
     if blocks == 1:
         return passes[0].withColumnRenamed("id", key)
     every = passes[0]
     for p in passes[1:]:
         every = every.union(p)
-    flat = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    flat = every.groupBy("row").agg(
+        F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    ).drop("row")
     join = F.udf(lambda s: [list(x) for x in merged([tuple(x) for x in s])], "array<array<long>>")
     return flat.withColumn("spans", join("spans")).withColumnRenamed("id", key)
 
@@ -258,6 +267,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """find_windows with its digest: n_hit, n_items, items_sha256 and contaminated (a twentieth of the words or more)."""
     found = find_windows(docs, benchmark, key, text)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: F.coalesce(x.cast("string"), F.lit("")))), ",")
     out = found.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("items_sha256", F.sha2(names, 256))
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
