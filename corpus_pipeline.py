@@ -16,6 +16,9 @@ from tidewater.llm.secrets import redact
 from tidewater.llm.toxicity import score_toxicity
 from tidewater.session import materialize, table
 
+#: tests/llm/test_pipeline.py holds the stage against all pairs at this similarity.
+NEAR_PERCENT = 85
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
@@ -23,16 +26,35 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(docs.columns)
 
 
+def keyed(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with a written key of each row, because ids may repeat or be null."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of each group of near copies (similarity NEAR_PERCENT or more) one row stays, that of smallest id.
+
+    Null ids come last, so a row without id stays where no row with one is a near copy.  Texts without words are near
+    copies of nothing: of these, rows that repeat an id and text shrink to one, and rows without id all stay.
+    """
+    rows = keyed(docs, "near-rows")
+    groups = near_duplicates(rows, percent=NEAR_PERCENT, key="_row").select("_row", "n_shingles", "component_id")
+    empty = F.col("n_shingles") == 0
+    same = [
+        F.when(~empty | F.col("doc_id").isNull(), F.col("component_id")).alias("group"),
+        F.when(empty, F.col("doc_id")).alias("id"),
+        F.when(empty, F.md5("text")).alias("body"),
+    ]
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = rows.select("_row", "doc_id", "text").join(groups, "_row").groupBy(*same).agg(first.alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark text go."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    """Rows of which a twentieth or more is benchmark text go, each judged by itself."""
+    rows = keyed(docs, "benchmark-rows")
+    bad = contamination(rows, table(spark, sf_dir, "benchmark"), key="_row").where("contaminated").select("_row")
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.llm.brute import near
-from tidewater.llm.near_dedup import near_duplicates
+from tidewater.llm.near_dedup import banding, near_duplicates
 from tidewater.llm.queries import op5_near_dedup
 from tidewater.session import table
 
@@ -48,3 +48,10 @@ def test_empty_table(spark):
 def test_all_alike(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("the same words in each of these").alias("text"))
     assert {r.component_id for r in near_duplicates(docs).collect()} == {0}
+
+
+def test_bands_follow_the_threshold():
+    assert banding(85) == (6, 28)
+    for percent in (80, 85, 90):
+        rows, bands = banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 2e-6

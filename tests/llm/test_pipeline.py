@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import corpus_pipeline
 from tests.llm.brute import contaminated, near, secrets
@@ -27,3 +28,17 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, D)
         assert set(out.columns) == set(docs.columns) and out.count() == 0
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(99999)}" for _ in range(n))
+    a, b, c, d, hit = words(60), words(60), words(60), words(60), words(30)
+    rows = [(3, a), (3, a), (3, b), (None, c), (None, c), (None, a), (5, d), (4, d), (7, ""), (7, ""), (None, None), (None, None), (8, hit), (8, words(50)), (None, hit)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = corpus_pipeline.near_dedup(spark, docs, D)
+    want = [(3, a), (3, b), (None, c), (4, d), (7, ""), (None, None), (None, None), (8, hit), (8, rows[13][1])]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    spark.createDataFrame([(1, hit)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted((r for r in rows if r[1] != hit), key=str)

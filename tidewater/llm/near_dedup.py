@@ -7,11 +7,13 @@ comparisons; only members that are then still apart are compared with the rest o
 in too many bits are dropped inside the join, the others are confirmed on the full sets.
 
 Defined results: null, empty or wordless text has an empty set and links with nothing; under five words the whole sequence
-is one shingle; repeated rows of one id are one document; other columns are left alone; an empty table gives no rows.
+is one shingle; an id names a document, so callers whose ids repeat or are null give a row key instead; other columns are
+left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 from tidewater.session import materialize, ship
 
 WIDTH = 5
-ROWS, BANDS = 6, 28
+#: Chance that a pair right at the threshold shares no band.
+MISSED = 2e-6
 SKETCH_BITS = 1024
-#: Sketches of two sets at the threshold of 0.85 differ by fewer bits than this but for one pair in some millions.
+#: Sketches of two sets at the threshold differ by fewer bits than this but for one pair in some millions.
 SKETCH_SLACK = 6.0
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -61,14 +64,21 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(acc)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Samples in a band, and as many bands as MISSED takes at this threshold: 6 and 28 for 85 %, 5 and 34 for 80 %."""
+    rows = max(1, min(6, (percent - 55) // 5))
+    return rows, math.ceil(math.log(MISSED) / math.log1p(-max(0.01, min(0.99, percent / 100)) ** rows))
+
+
 class Signer:
-    def __init__(self) -> None:
+    def __init__(self, rows: int, bands: int) -> None:
         rng = np.random.default_rng(20240)
-        k = ROWS * BANDS
+        self.rows = rows
+        k = rows * bands
         self.mul = rng.integers(1 << 31, size=k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.flip = rng.integers(1 << 32, size=k, dtype=np.uint32)
         self.salt = rng.integers(1 << 63, size=k, dtype=np.uint64)
-        self.band = np.arange(BANDS, dtype=np.uint64) * _M1
+        self.band = np.arange(bands, dtype=np.uint64) * _M1
 
     def minima(self, s: np.ndarray) -> np.ndarray:
         low = np.full(len(self.mul), 0xFFFFFFFF, np.uint32)
@@ -85,17 +95,17 @@ class Signer:
         """Band keys, and the odd sketch: bit b is the parity of the samples that fall on b."""
         low = self.minima(s).astype(np.uint64)
         key = self.band.copy()
-        for row in low.reshape(BANDS, ROWS).T:
+        for row in low.reshape(-1, self.rows).T:
             key = _mix(key * _M1 + row)
         bits = (_mix(low ^ self.salt) % np.uint64(SKETCH_BITS)).astype(np.int64)
         parity = (np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)
         return key.view(np.int64), np.packbits(parity).view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
     import hashlib
 
-    signer, memo = Signer(), {}
+    signer, memo = Signer(rows, bands), {}
     for b in batches:
         n, names, keys, bits = [], [], [], []
         for t in b.column(1):
@@ -164,12 +174,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per id: n_shingles, class_id (smallest id of the same words) and component_id."""
+    """One row per row of ``docs``: n_shingles, class_id (smallest id of the same words) and component_id."""
     spark = docs.sparkSession
     ship(spark)
-    # of rows that repeat an id, one that the text decides
+    rows, bands = banding(percent)
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
-    signed = materialize(src.mapInArrow(_signed, "id long, n_shingles long, name binary, bands array<long>, sketch array<long>"), "signed")
+    signed = materialize(src.mapInArrow(lambda it: _signed(it, rows, bands), "id long, n_shingles long, name binary, bands array<long>, sketch array<long>"), "signed")
     classes = signed.where("name is not null").groupBy("name").agg(F.min("id").alias("rep"))
     member = signed.select("id", "n_shingles", "name").join(classes, "name", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     # the samples depend on the set alone, so the representative's row is the class's
@@ -180,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
 
     words = SKETCH_BITS // 64
     apart = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, words)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
-    k = ROWS * BANDS
+    k = rows * bands
     far = (1 - percent / 100) * k
     most = int(2 * (far + SKETCH_SLACK * (far * percent / 100) ** 0.5)) + 1
 
