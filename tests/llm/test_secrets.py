@@ -50,3 +50,15 @@ def test_random_keys_are_found_and_words_are_not(spark):
     got = {r.doc_id: r.spans for r in secret_report(frame).collect()}
     assert sum("random:4:44" in got[i] for i in range(200)) >= 190
     assert not any("random" in got[200 + i] for i in range(len(plain)))
+
+
+def test_keys_without_digits_or_with_late_ones_are_found_and_words_are_not(spark):
+    rng = random.Random(2)
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    keys = [key(string.ascii_letters, 40) for _ in range(60)] + [key(string.ascii_uppercase, 60) for _ in range(60)] + [key(string.ascii_letters, 90) + key(string.digits + string.ascii_letters, 30) for _ in range(60)]
+    plain = ["-" * 40, "=" * 9 + "_" * 30, "donaudampfschifffahrtsgesellschaft", "getElementsByTagNameFromDocument", "INTERNATIONALISATIONOFSTANDARDS", "12345678901234567890123", "path/to/some/other/place/within", "pneumonoultramicroscopicsilicovolcanoconiosis"]
+    frame = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_report(frame).collect()}
+    for at in (0, 60, 120):
+        assert sum(f"random:4:{4 + len(keys[i])}" in got[i] for i in range(at, at + 60)) >= 54
+    assert not any("random" in got[len(keys) + i] for i in range(len(plain)))

@@ -1,6 +1,6 @@
 """Secret scans in built-in functions only: three fixed kinds, and a battery of randomness tests for other long tokens.
 
-A token of 20 or more key characters with letters and digits is read in the smallest encoding that holds it (hex, base 36,
+Every token of 20 or more key characters is read in the smallest encoding that holds it (hex, 26 or 52 letters, base 36,
 base 64).  Chi-squared uniformity over that alphabet, a runs test about its middle and the lag-one serial correlation give
 one statistic that random keys seldom exceed.  Its p-value as ordinary text comes from the index of coincidence, whose
 spread shrinks with the length; tokens of a document are then accepted under Benjamini and Hochberg's false-discovery rule.
@@ -18,12 +18,13 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,80}[0-9])(?=[0-9+/_-]{0,80}[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 #: Chance of a pair of equal letters in ordinary text, and of one letter of it being a hex digit.
 COINCIDENCE, HEX_LETTER = 0.066, 0.35
 FALSE_DISCOVERIES, RANDOM_LEVEL = 0.01, 0.001
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-ALPHABETS = {"hex": "0123456789abcdef", "b36": "0123456789abcdefghijklmnopqrstuvwxyz", "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"}
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = {"hex": DIGITS + "abcdef", "a26": LOWER, "a52": UPPER + LOWER, "b36": DIGITS + LOWER, "b64": UPPER + LOWER + DIGITS + "+/_-"}
 
 
 def _once(value: Column, use) -> Column:
@@ -50,36 +51,48 @@ def _matches(text: Column, pattern: str, kind: int, judged: int = 0) -> Column:
 def _battery(word: Column) -> Column:
     """struct(ordinary, random): the token's p-value as ordinary text, and as random symbols."""
 
-    def judged(code: str, w: Column) -> Column:
-        symbols = ALPHABETS[code]
-        a = float(len(symbols))
+    def judged(k: Column) -> Column:
+        a = F.length(k["symbols"]).cast("double")
 
         def tests(v: Column) -> Column:
             n = F.size(v).cast("double")
-            idx = F.sequence(F.lit(1), F.size(v) - 1)
-            squares = F.aggregate(F.transform(F.array_distinct(v), lambda s: F.size(F.filter(v, lambda y: y == s)).cast("double")), F.lit(0.0), lambda t, c: t + c * c)
             mid = (a - 1) / 2
-            high = F.size(F.filter(v, lambda y: y > mid)).cast("double")
-            runs = 1.0 + F.size(F.filter(idx, lambda i: (F.element_at(v, i) > mid) != (F.element_at(v, i + 1) > mid)))
-            mean_runs = 2 * high * (n - high) / n + 1
-            var_runs = F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(0.25))
-            mean = F.aggregate(v, F.lit(0.0), lambda t, y: t + y) / n
-            var = F.aggregate(v, F.lit(0.0), lambda t, y: t + (y - mean) * (y - mean))
-            lag = F.aggregate(idx, F.lit(0.0), lambda t, i: t + (F.element_at(v, i) - mean) * (F.element_at(v, i + 1) - mean))
-            z_chi = F.greatest((squares * a / n - n - (a - 1)) / (2 * (a - 1)) ** 0.5, F.lit(0.0))
-            z_runs = (runs - mean_runs) / F.sqrt(var_runs)
-            z_lag = F.when(var > 0, lag / var * F.sqrt(n)).otherwise(F.lit(9.0))
-            chi3 = z_chi * z_chi + z_runs * z_runs + z_lag * z_lag
-            z = (F.cbrt(chi3 / 3) - (1 - 2 / 27)) / (2 / 27) ** 0.5  # Wilson and Hilferty
-            same = (squares - n) / (n * (n - 1))
-            spread = F.sqrt(2 * COINCIDENCE * (1 - COINCIDENCE) / (n * (n - 1)))
-            tail = lambda z: 1 / (1 + F.exp(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(300.0))))
-            ordinary = F.pow(F.lit(HEX_LETTER), F.size(F.filter(v, lambda y: y >= 10.0)).cast("double")) if code == "hex" else tail((COINCIDENCE - same) / spread)
-            return F.struct(ordinary.alias("ordinary"), tail(z).alias("random"))
-
-        return _once(F.transform(F.split(w, ""), lambda c: (F.call_function("position", c, F.lit(symbols)) - 1).cast("double")), tests)
-
-    return F.when(word.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), judged("hex", F.lower(word))).when(word.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$"), judged("b36", F.lower(word))).otherwise(judged("b64", word))
+
+            # A lambda would take the mean again for each symbol if it were not a value of its own.
+            def sums(mean: Column) -> Column:
+                idx = F.sequence(F.lit(1), F.size(v) - 1)
+                squares = F.aggregate(F.transform(F.array_distinct(v), lambda s: F.size(F.filter(v, lambda y: y == s)).cast("double")), F.lit(0.0), lambda t, c: t + c * c)
+                high = F.size(F.filter(v, lambda y: y > mid)).cast("double")
+                runs = 1.0 + F.size(F.filter(idx, lambda i: (F.element_at(v, i) > mid) != (F.element_at(v, i + 1) > mid)))
+                var = F.aggregate(v, F.lit(0.0), lambda t, y: t + (y - mean) * (y - mean))
+                lag = F.aggregate(idx, F.lit(0.0), lambda t, i: t + (F.element_at(v, i) - mean) * (F.element_at(v, i + 1) - mean))
+                letters = F.size(F.filter(v, lambda y: y >= 10.0)).cast("double")
+                return F.struct(squares.alias("squares"), high.alias("high"), runs.alias("runs"), var.alias("var"), lag.alias("lag"), letters.alias("letters"))
+
+            def chances(m: Column) -> Column:
+                mean_runs = 2 * m["high"] * (n - m["high"]) / n + 1
+                var_runs = F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(0.25))
+                z_chi = F.greatest((m["squares"] * a / n - n - (a - 1)) / F.sqrt(2 * (a - 1)), F.lit(0.0))
+                z_runs = (m["runs"] - mean_runs) / F.sqrt(var_runs)
+                z_lag = F.when(m["var"] > 0, m["lag"] / m["var"] * F.sqrt(n)).otherwise(F.lit(9.0))
+                chi3 = z_chi * z_chi + z_runs * z_runs + z_lag * z_lag
+                z = (F.cbrt(chi3 / 3) - (1 - 2 / 27)) / (2 / 27) ** 0.5  # Wilson and Hilferty
+                same = (m["squares"] - n) / (n * (n - 1))
+                spread = F.sqrt(2 * COINCIDENCE * (1 - COINCIDENCE) / (n * (n - 1)))
+                tail = lambda z: 1 / (1 + F.exp(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(300.0))))
+                ordinary = F.when(a == len(ALPHABETS["hex"]), F.pow(F.lit(HEX_LETTER), m["letters"])).otherwise(tail((COINCIDENCE - same) / spread))
+                return F.struct(ordinary.alias("ordinary"), tail(z).alias("random"))
+
+            return _once(_once(F.aggregate(v, F.lit(0.0), lambda t, y: t + y) / n, sums), chances)
+
+        return _once(F.transform(F.split(k["read"], ""), lambda c: (F.call_function("position", c, k["symbols"]) - 1).cast("double")), tests)
+
+    read_in = lambda code, read: F.struct(F.lit(ALPHABETS[code]).alias("symbols"), read.alias("read"))
+    small = [("^(?:[0-9a-f]+|[0-9A-F]+)$", "hex"), ("^(?:[a-z]+|[A-Z]+)$", "a26"), ("^[A-Za-z]+$", "a52"), ("^(?:[0-9a-z]+|[0-9A-Z]+)$", "b36")]
+    kind = F
+    for pattern, code in small:
+        kind = kind.when(word.rlike(pattern), read_in(code, word if code == "a52" else F.lower(word)))
+    return _once(kind.otherwise(read_in("b64", word)), judged)
 
 
 def _random(found: Column) -> Column:
