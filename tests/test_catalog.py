@@ -23,3 +23,13 @@ def test_query(spark, name):
     assert sorted(got.columns) == columns
     key = lambda r: tuple((r[c] is None, r[c]) if r[c] is not None else (True, "") for c in columns)
     assert sorted((tuple(map(str, key(r.asDict()))) for r in got.collect())) == sorted(tuple(map(str, key(r))) for r in rows)
+
+
+def test_finish_states_reach_the_whole_of_nested_payloads(spark, tmp_path):
+    nested = '{"k": [1, {"a": "x\\"["}]}'
+    spark.createDataFrame([(1, nested), (2, '{"k": 1}'), (3, None)], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.event_id, r.n_read): r.reason for r in catalog.queries()["json_finish_states"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == {(a, b): c for a, b, c in con.execute(catalog.oracle_sql()["json_finish_states"]).fetchall()}
+    assert len(got) == len(nested) + 1 + 9 and got[1, len(nested)] is None and got[1, len(nested) - 2] == "missingClosingBracket"

@@ -54,6 +54,13 @@ def json_finish_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", finish_reason(cut).alias("reason"))
 
 
+def json_finish_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the end of every prefix of every payload lacks, from the empty one to the whole payload."""
+    rows = table(spark, sf_dir, "events").where("props is not null").select("event_id", "props", F.explode(F.sequence(F.lit(0), F.length("props"))).alias("n"))
+    reason = finish_reason(F.col("props").substr(F.lit(1), F.col("n")))
+    return rows.select("event_id", F.col("n").cast("bigint").alias("n_read"), reason.alias("reason"))
+
+
 def snake_case_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.lit("_"), F.lower(F.regexp_replace("p_type", " ", "_")), F.lit("__"))
     return table(spark, sf_dir, "part").select("p_partkey", camel_key(key).alias("key"))
@@ -99,7 +106,7 @@ def stream_chunk_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("stream").alias("conv_id"), F.col("seq").alias("turn"), F.length(state["said"]).cast("bigint").alias("n_chars"), F.md5(state["said"]).alias("said_md5"))
 
 
-QUERIES = [json_partials, json_partials_by_3, json_chunk_partials, json_number_kinds, json_finish_reasons, snake_case_keys, yaml_mapping, yaml_sequence, yaml_block_scalars, stream_chunk_partials]
+QUERIES = [json_partials, json_partials_by_3, json_chunk_partials, json_number_kinds, json_finish_reasons, json_finish_states, snake_case_keys, yaml_mapping, yaml_sequence, yaml_block_scalars, stream_chunk_partials]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -133,6 +140,13 @@ SELECT event_id, CASE WHEN {k} BETWEEN -128 AND 127 THEN {k} END AS k8,
         "json_finish_reasons": """
 SELECT event_id, CASE WHEN event_id % 9 IN (2, 3) THEN 'unterminatedString'
   WHEN event_id % 9 > 0 AND NOT contains(substr(props, 1, CAST(event_id % 9 AS INTEGER)), '}') THEN 'missingClosingBrace' END AS reason FROM events""",
+        "json_finish_states": r"""
+SELECT event_id, n_read, CASE WHEN contains(rest, '"') THEN 'unterminatedString'
+  WHEN length(replace(rest, ']', '')) > length(replace(rest, '[', '')) THEN 'missingClosingBracket'
+  WHEN length(replace(rest, '}', '')) > length(replace(rest, '{', '')) THEN 'missingClosingBrace' END AS reason
+FROM (SELECT event_id, CAST(i AS BIGINT) AS n_read,
+  regexp_replace(regexp_replace(substr(props, 1, CAST(i AS INTEGER)), '\\.', '', 'gs'), '"[^"]*"', '', 'g') AS rest
+  FROM events, unnest(range(CAST(length(props) AS BIGINT) + 1)) AS r(i) WHERE props IS NOT NULL)""",
         "snake_case_keys": """
 SELECT p_partkey, CASE WHEN strpos(p_type, ' ') = 0 THEN '_' || lower(p_type) || '__' ELSE '_' || list_reduce(
   list_transform(string_split(lower(p_type), ' '), lambda w, i: CASE WHEN i = 1 THEN w ELSE upper(w[1]) || w[2:] END), lambda a, b: a || b) || '__' END AS key FROM part""",
