@@ -4,8 +4,12 @@ The merges are never replayed on text.  A token sequence is the BPE encoding of
 are *compatible* (merging their joined bytes gives the same two back), so the encoding of every prefix is that of a shorter
 prefix plus one compatible token.  Reading byte by byte, only the start positions from which some token could still extend
 matter; the transducer's state is the bytes since the earliest of them with the tokens that lead to each.  Tokens on which
-all these paths agree are emitted at once, so the lookahead is bounded by the longest token.  States and transitions are
-made when first met and numbered; a known transition is one dictionary access.
+all these paths agree are emitted at once, so the lookahead is bounded by the longest token.  A transition is determinised
+and numbered when it is met a second time, and from then on is one dictionary access; where a piece meets one for the first
+time, the paths of its bytes not yet settled are followed one by one.  Whether two tokens are compatible is read off their own
+merge trees, by undoing the merges along the boundary from the last one back.
+
+Ids are decoded through an incremental UTF-8 machine, a run of DECODE_IDS at a time.
 
 Defined results: null and empty text encode to no ids; text of any length is streamed through the same machine; a piece
 that is itself a token is that token, as in the rank-file format's own encoder; unknown or split UTF-8 decodes to U+FFFD.
@@ -14,6 +18,7 @@ that is itself a token is that token, as in the rank-file format's own encoder;
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
@@ -24,9 +29,14 @@ from pyspark.sql import functions as F
 
 from tidewater.session import ship
 
-#: Pieces whose ids a worker remembers, and transitions it keeps, before either table starts afresh.
-MEMO_PIECES = 400_000
-MEMO_STEPS = 400_000
+#: Pieces whose ids a worker remembers in each of two generations, and transitions it keeps, before the older go.
+MEMO_PIECES = 150_000
+MEMO_STEPS = 100_000
+#: Meetings at which a transition is determinised.
+DETERMINISE_AT = 16
+#: Compatible pairs, and transitions not determinised, that a worker keeps.
+MEMO_PAIRS = 200_000
+DECODE_IDS = 1 << 16
 #: Pieces longer than this are not remembered.
 MEMO_BYTES = 48
 
@@ -42,6 +52,9 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
+        self.size = [0] * (max(ranks.values(), default=0) + 1)
+        for t, r in ranks.items():
+            self.size[r] = len(t)
         self.child: dict[int, int] = {}  # trie over the tokens: node << 8 | byte -> node
         self.token = [-1]  # the token that ends at a node
         for t, r in ranks.items():
@@ -54,6 +67,7 @@ class Transducer:
                     self.token.append(-1)
             self.token[node] = r
         self.fits: dict[int, bool] = {}
+        self.split: dict[int, tuple[int, ...]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -61,32 +75,61 @@ class Transducer:
         self.states: list[tuple] = [(-1, ((0, ()),))]
         self.number = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.met: dict[int, int] = {}  # how often a transition that is not determinised was met
 
-    def merged(self, piece: bytes) -> list[bytes]:
-        """The definition: join the adjacent pair of lowest rank, leftmost first, until none is left."""
+    def merged(self, piece: bytes, below: int = 1 << 60) -> list[bytes]:
+        """The definition: join the adjacent pair of lowest rank, leftmost first, until none is left (of rank ``below``)."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         get = self.ranks.get
         while len(parts) > 1:
-            found = [get(a + b, 1 << 60) for a, b in pairwise(parts)]
+            found = [get(a + b, below) for a, b in pairwise(parts)]
             best = min(found)
-            if best == 1 << 60:
+            if best >= below:
                 break
             at = found.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def halves(self, t: int) -> tuple[int, ...]:
+        """The tokens that the last merge of ``t`` joins; none if its merges don't come in the order of their ranks."""
+        got = self.split.get(t)
+        if got is None:
+            parts = self.merged(self.tokens[t], t)
+            got = self.split[t] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else ()
+        return got
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether ``b`` may follow ``a``; for a piece's first token (a = -1), whether it merges to itself."""
         key = (a + 1) << 32 | b
         got = self.fits.get(key)
         if got is None:
-            if len(self.fits) > MEMO_STEPS:
+            if len(self.fits) > MEMO_PAIRS:
                 self.fits.clear()
-            y = self.tokens[b]
-            want = [self.tokens[a], y] if a >= 0 else [y]
-            got = self.fits[key] = self.merged(b"".join(want)) == want
+            got = self.fits[key] = self._stays(a, b)
         return got
 
+    def _stays(self, a: int, b: int) -> bool:
+        y = self.tokens[b]
+        if a < 0:
+            return len(y) == 1 or bool(self.halves(b)) or self.merged(y) == [y]
+        x, limit = self.tokens[a], 1 << 60
+        whole = [x, y]
+        while True:
+            # these two stand side by side until the merge of rank ``limit``
+            if self.ranks.get(x + y, limit) < limit:
+                return False
+            if len(y) > 1 and (b >= a or len(x) == 1):
+                parts, limit = self.halves(b), b + 1  # of equal ranks the left pair goes first
+                b = parts[0] if parts else -1
+            elif len(x) > 1:
+                parts, limit = self.halves(a), a
+                a = parts[1] if parts else -1
+            else:
+                return True
+            if not parts:
+                return self.merged(b"".join(whole)) == whole
+            x, y = self.tokens[a], self.tokens[b]
+
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The next state and the ids that this byte settles; determinised when first asked for."""
         key = state << 8 | byte
@@ -117,23 +160,62 @@ class Transducer:
             self.states.append(nxt)
         return n, out
 
+    def _follow(self, last: int, data: bytes) -> list[int]:
+        """The ids of ``data`` after token ``last``, without determinising: the machine's paths, longest token first.
+
+        One compatible path at most leads to a place, so a place whose paths have all ended is not entered again.
+        """
+        child, ends, known, size, n = self.child.get, self.token, self.fits.get, self.size, len(data)
+        path: list[int] = []
+        open_: list[tuple[int, list[int]]] = []  # places on the path, with the tokens not tried there
+        ended: set[int] = set()
+        at, before = 0, last
+        while at < n:
+            node, fresh = 0, []
+            for i in range(at, n):
+                node = child(node << 8 | data[i])
+                if not node:
+                    break
+                t = ends[node]
+                if t >= 0:
+                    fresh.append(t)
+            while True:
+                if not fresh:
+                    ended.add(at)
+                    at, fresh = open_.pop()
+                    path.pop()
+                    before = path[-1] if path else last
+                    continue
+                t = fresh.pop()
+                if ended and at + size[t] in ended:
+                    continue
+                fits = known((before + 1) << 32 | t)
+                if self.compatible(before, t) if fits is None else fits:
+                    break
+            open_.append((at, fresh))
+            path.append(t)
+            before = t
+            at += size[t]
+        return path
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         ids: list[int] = []
-        state = 0
-        get = self.steps.get
+        state, met, get = 0, self.met, self.steps.get
         for byte in piece:
-            done = get(state << 8 | byte)
+            key = state << 8 | byte
+            done = get(key)
             if done is None:
-                if len(self.steps) > MEMO_STEPS:  # start afresh from the state reached
-                    here = self.states[state]
-                    self.reset()
-                    get = self.steps.get
-                    state = self.number.setdefault(here, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(here)
+                times = met.get(key, 0) + 1
+                if times < DETERMINISE_AT or len(self.steps) > MEMO_STEPS:
+                    if times == 1 and len(met) > MEMO_PAIRS:
+                        met.clear()
+                    met[key] = times
+                    if ids:
+                        return ids + self._follow(ids[-1], piece[sum([self.size[t] for t in ids]) :])
+                    return self._follow(-1, piece)
                 done = self.step(state, byte)
             state, out = done
             if out:
@@ -190,24 +272,41 @@ class Codec:
         self.fst = Transducer(self.ranks)
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.table: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
             self.table[r] = t
 
     def _ids(self, piece: str) -> bytes:
-        raw = piece.encode()
-        out = np.array(self.fst.encode(raw), "<u4").tobytes()
-        if len(raw) <= MEMO_BYTES:
-            if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
-            self.memo[piece] = out
+        out = self.older.get(piece)
+        if out is None:
+            raw = piece.encode()
+            ids = self.fst.encode(raw)
+            out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(raw) > MEMO_BYTES:
+                return out
+        if len(self.memo) >= MEMO_PIECES:
+            self.memo, self.older = {}, self.memo
+        self.memo[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
-        get, make = self.memo.get, self._ids
-        return b"".join([get(p) or make(p) for p in self.split(text)])
+        ids = self._ids
+        out = []
+        for p in self.split(text):
+            out.append(self.memo.get(p) or ids(p))
+        return b"".join(out)
+
+    def decoded(self, ids: bytes) -> Iterator[str]:
+        """The text of packed ids in pieces of whole characters."""
+        machine, token = Utf8Machine(), self.table.__getitem__
+        every = np.frombuffer(ids, "<u4")
+        for i in range(0, len(every), DECODE_IDS):
+            yield machine.feed(b"".join(map(token, every[i : i + DECODE_IDS].tolist())))
+        yield machine.finish()
 
     def decode(self, ids: bytes) -> bytes:
+        """The bytes behind packed ids, valid UTF-8 or not."""
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
@@ -236,14 +335,17 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str, pattern: str, payload:
         n, a, d, ids, decoded = [], [], [], [], []
         for t in texts:
             packed = c.encode(t.as_py() or "")
-            raw = c.decode(packed)
+            digest, parts = hashlib.sha256(), []
+            for part in c.decoded(packed):
+                digest.update(part.encode())
+                if payload:
+                    parts.append(part)
             n.append(len(packed) // 4)
             a.append(hashlib.sha256(packed).hexdigest())
-            d.append(hashlib.sha256(raw).hexdigest())
+            d.append(digest.hexdigest())
             if payload:
-                machine = Utf8Machine()
                 ids.append(packed)
-                decoded.append(machine.feed(raw) + machine.finish())
+                decoded.append("".join(parts))
         out = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
         if payload:
             out += [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
