@@ -31,7 +31,7 @@ def checked_integer(token: Column, kind: str) -> tuple[Column, Column]:
     low, high = INTEGER_RANGES[kind]
     number = token.try_cast("decimal(38,0)")
     whole = token.rlike("^-?[0-9]+$")
-    fits = whole & number.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)"))
+    fits = whole & number.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
     target = "decimal(20,0)" if kind == "uint64" else "bigint"
     reason = F.when(token.isNull() | F.coalesce(fits, F.lit(False)), None).when(token.rlike("^-?[0-9]"), "numericOverflow").otherwise("invalidType")
     return F.when(fits, number.cast(target)), reason

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions.keys import camel_key, checked_double, checked_integer
 from tidewater.operators.chunk_partials import chunk_prefixes, escape_json
+from tidewater.operators.json_decode import Syntax, checked_partials, decode, decoded
 from tidewater.operators.json_partials import byte_partials, decode_prefix, finish_reason
 from tidewater.operators.yaml_blocks import block_mapping, block_sequence, folded_block, literal_block
 from tidewater.session import scratch_path, ship, table
@@ -106,7 +108,95 @@ def stream_chunk_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("stream").alias("conv_id"), F.col("seq").alias("turn"), F.length(state["said"]).cast("bigint").alias("n_chars"), F.md5(state["said"]).alias("said_md5"))
 
 
-QUERIES = [json_partials, json_partials_by_3, json_chunk_partials, json_number_kinds, json_finish_reasons, json_finish_states, snake_case_keys, yaml_mapping, yaml_sequence, yaml_block_scalars, stream_chunk_partials]
+#: What json_errors puts in the place of a payload's end, by event_id modulo their number; {n} is the payload's number.
+BROKEN = [
+    '{{"k": {n}}}', '{{"k": {n}', '{{"k" {n}}}', '{{"k": {n}, "l":}}', '{{"k": {n},}}', '{{"k": {n}, "l": [1 2]}}', '{{"k": {n}, "l": tru}}', '{{"k": {n},\n"l": -}}',
+    '{{"k": {n}, "l": 0{n}}}', '{{"k": {n}, "l": 1e}}', '{{"k": "{n}"}}', '{{"k": {n}00000000000000000000}}', '{{"k": {n}, "l": "\\u12"}}', '{{"k": {n}, "l": "abc', '{{"k": {n}]',
+    '{{"k": {n}, "l": [1,2', '{{"k": {n}, "l": [1,2,x]}}', '{{"k": {n}}} {n}',
+]
+
+
+def _broken(n):
+    """The text of BROKEN for an event whose payload's number is ``n``."""
+    out = F
+    for i, form in enumerate(BROKEN):
+        pieces = form.replace("{{", "{").replace("}}", "}").split("{n}")
+        made = F.concat(*[x for j, p in enumerate(pieces) for x in ([F.lit(p)] if not j else [n, F.lit(p)])])
+        out = out.when(F.col("event_id") % len(BROKEN) == i, made)
+    return out
+
+
+def json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads broken in each way that has a reason: the reason, its place, and the number read before it."""
+    text = _broken(F.get_json_object("props", "$.k"))
+    got = table(spark, sf_dir, "events").select("event_id", F.explode(F.array(decode(text, "k bigint, l array<bigint>"))).alias("d"))
+    place = [F.col("d.error")[c].cast(t).alias(c) for c, t in (("reason", "string"), ("line", "bigint"), ("col", "bigint"))]
+    return got.select("event_id", F.col("d.value.k").alias("k"), F.size("d.value.l").cast("bigint").alias("n_l"), *place)
+
+
+def json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts read under every kind of number: what fits, and the reason where it doesn't."""
+    rows = table(spark, sf_dir, "part")
+    text = F.to_json(F.struct((F.col("p_size") * 6).alias("v")))
+    kinds = {"int8": "tinyint", "int16": "smallint", "uint8": "smallint", "uint64": "decimal(20,0)", "float": "float", "boolean": "boolean", "string": "string", "int128": "string"}
+    out = []
+    for name, kind in kinds.items():
+        schema = T.StructType([T.StructField("v", T._parse_datatype_string(kind), metadata={"kind": name} if "int" in name else {})])
+        got = decode(text, schema)
+        out += [got["value"]["v"].cast("string").alias(f"v_{name}"), got["error"]["reason"].alias(f"e_{name}")]
+    return rows.select("p_partkey", *out)
+
+
+def json_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written with comments, trailing commas, single quotes, unquoted keys and loose numbers."""
+    every = Syntax(comments=True, trailing_commas=True, unquoted_keys=True, single_quotes=True, leading_plus=True, leading_zeros=True, leading_point=True, hex_numbers=True, non_finite=True)
+    text = F.concat(
+        F.lit("/* an order */ {key: 0x"), F.hex("o_orderkey"), F.lit(", // its customer\n 'cust': +00"), F.col("o_custkey"), F.lit(", half: .5, none: NaN, \"status\": 'it\\'s \"'"), F.lit(", list: [1,2,],}"),
+    )
+    got = decode(text, "key bigint, cust bigint, half double, none double, status string, list array<int>", every)
+    row = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(got)).alias("d"))
+    v = F.col("d.value")
+    return row.select("o_orderkey", v["key"].alias("key"), v["cust"].alias("cust"), v["half"].alias("half"), F.isnan(v["none"]).alias("is_nan"), v["status"].alias("status"), F.size(v["list"]).cast("bigint").alias("n"), F.col("d.error.reason").alias("reason"))
+
+
+def json_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that are there, null, or missing, with an initial value for what is missing."""
+    n = F.get_json_object("props", "$.k")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k": '), n, F.lit("}"))).when(F.col("event_id") % 3 == 1, '{"k": null}').otherwise("{}")
+    row = table(spark, sf_dir, "events").select("event_id", F.explode(F.array(decode(text, "k bigint"))).alias("d"))
+    was_null = F.array_contains("d.nulls", "k")
+    return row.select("event_id", F.when(~was_null, F.coalesce(F.col("d.value.k"), F.lit(0))).alias("k"), was_null.alias("was_null"))
+
+
+def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as arrays of objects, and a map of amounts by status."""
+    line = F.struct(F.col("l_linenumber").alias("line_number"), F.struct(F.col("l_quantity").cast("int").alias("value")).alias("qty"), F.create_map("l_linestatus", F.col("l_quantity").cast("int")).alias("byStatus"))
+    text = F.to_json(F.struct(F.col("l_orderkey").alias("id"), F.collect_list(line).alias("lines")))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(text.alias("t"))
+    item = T.StructType([
+        T.StructField("number", T.IntegerType(), metadata={"keys": ["no", "lineNumber"]}), T.StructField("qty", T.StructType([T.StructField("value", T.LongType())])),
+        T.StructField("byStatus", T.MapType(T.StringType(), T.LongType())), T.StructField("note", T.StringType(), metadata={"ignored": True}),
+    ])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("lines", T.ArrayType(item))])
+    row = decoded(lines, F.col("t"), schema, "d", keys=camel_key)
+    x = F.col("d.value.lines")
+    total = lambda of: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, e: a + of(e))
+    return row.select(
+        F.col("d.value.id").alias("id"), F.size(x).cast("bigint").alias("n"), total(lambda e: e["number"]).alias("numbers"), total(lambda e: e["qty"]["value"]).alias("qty"),
+        total(lambda e: F.coalesce(F.try_element_at(e["byStatus"], F.lit("O")), F.lit(0))).alias("open_qty"), F.col("d.error.reason").alias("reason"),
+    )
+
+
+def json_checked_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every state of each nation as an object, from an initial value; a stray letter ends it."""
+    text = F.concat(F.lit('{"name":"'), "n_name", F.lit('","region":'), "n_regionkey", F.lit(" x}"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", text.alias("t"))
+    first = F.struct(F.lit("none").alias("name"), F.lit(-1).cast("bigint").alias("region"))
+    got = checked_partials(rows, "n_nationkey", "t", "name string, region bigint", initial=first)
+    return got.select("n_nationkey", F.col("seq").cast("bigint").alias("seq"), F.col("state.name").alias("name"), F.col("state.region").alias("region"), F.col("error.reason").alias("reason"))
+
+
+QUERIES = [json_errors, json_types, json_syntax, json_nulls, json_nested, json_checked_partials, json_partials, json_partials_by_3, json_chunk_partials, json_number_kinds, json_finish_reasons, json_finish_states, snake_case_keys, yaml_mapping, yaml_sequence, yaml_block_scalars, stream_chunk_partials]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -125,9 +215,49 @@ SELECT conv_id, turn, CAST(length(said) AS BIGINT) AS n_chars, md5(said) AS said
 FROM (SELECT conv_id, turn, string_agg(coalesce(text, ''), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS said FROM conversations)"""
 
 
+#: Of BROKEN by place in the list: reason, line, column less the digits of the number (None: no fault), whether k and l are read.
+_FAULTS = [
+    None, ("missingClosingBrace", 1, 7, 1), ("missingColon", 1, 6, 0), ("missingValue", 1, 13, 1), ("trailingComma", 1, 8, 1), ("missingComma", 1, 17, 1), ("invalidLiteral", 1, 14, 1), ("invalidNumber", 2, 6, 1),
+    ("leadingZero", 1, 14, 1), ("invalidExponent", 1, 14, 1), ("invalidType", 1, 7, 0), ("numericOverflow", 1, 7, 0), ("invalidUnicodeEscape", 1, 14, 1), ("invalidType", 1, 14, 1), ("unexpectedToken", 1, 7, 1),
+    ("missingClosingBracket", 1, 18, 1), ("unexpectedToken", 1, 19, 1), ("unexpectedToken", 1, 9, 1),
+]
+
+
+def _faults_sql() -> str:
+    k = "CAST(json_extract(props, '$.k') AS BIGINT)"
+    at = f"event_id % {len(BROKEN)}"
+    case = lambda of: "CASE " + " ".join(f"WHEN {at} = {i} THEN {of(i, f)}" for i, f in enumerate(_FAULTS) if f) + " END"
+    fixed = (2, 7, 10, 11)  # faults before the number, or on another line
+    col = case(lambda i, f: str(f[2]) if i in fixed else f"{f[2]} + length(CAST({k} AS VARCHAR))")
+    read = "CASE WHEN " + at + " IN (" + ",".join(str(i) for i, f in enumerate(_FAULTS) if f and not f[3]) + f") THEN NULL ELSE {k} END"
+    return f"""
+SELECT event_id, {read} AS k, CAST(CASE WHEN {at} = 5 THEN 1 WHEN {at} IN (15, 16) THEN 2 END AS BIGINT) AS n_l, {case(lambda i, f: f"'{f[0]}'")} AS reason,
+  CAST({case(lambda i, f: str(f[1]))} AS BIGINT) AS line, CAST({col} AS BIGINT) AS col FROM events"""
+
+
+def _types_sql() -> str:
+    v = "p_size * 6"
+    whole = {"int8": 127, "int16": 32767, "uint8": 255, "uint64": 1 << 60, "int128": 1 << 60}
+    cols = [f"CASE WHEN {v} <= {m} THEN CAST({v} AS VARCHAR) END AS v_{n}, CASE WHEN {v} > {m} THEN 'numericOverflow' END AS e_{n}" for n, m in whole.items()]
+    cols += [f"CAST({v} AS VARCHAR) || '.0' AS v_float, CAST(NULL AS VARCHAR) AS e_float", *[f"CAST(NULL AS VARCHAR) AS v_{n}, 'invalidType' AS e_{n}" for n in ("boolean", "string")]]
+    return f"SELECT p_partkey, {', '.join(cols)} FROM part"
+
+
 def oracle_sql() -> dict[str, str]:
     k = "CAST(json_extract(props, '$.k') AS BIGINT)"
     return {
+        "json_errors": _faults_sql(),
+        "json_types": _types_sql(),
+        "json_syntax": "SELECT o_orderkey, o_orderkey AS key, o_custkey AS cust, CAST(0.5 AS DOUBLE) AS half, true AS is_nan, 'it''s \"' AS status, CAST(2 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS reason FROM orders",
+        "json_nulls": f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN {k} WHEN 2 THEN 0 END AS k, event_id % 3 = 1 AS was_null FROM events",
+        "json_nested": """
+SELECT l_orderkey AS id, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS numbers, CAST(SUM(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS qty,
+  CAST(SUM(CASE WHEN l_linestatus = 'O' THEN CAST(trunc(l_quantity) AS BIGINT) ELSE 0 END) AS BIGINT) AS open_qty, CAST(NULL AS VARCHAR) AS reason FROM lineitem GROUP BY l_orderkey""",
+        "json_checked_partials": """
+SELECT n_nationkey, CAST(i AS BIGINT) AS seq, CASE WHEN i < 8 THEN 'none' ELSE substr(n_name, 1, CAST(i - 8 AS INTEGER)) END AS name,
+  CAST(CASE WHEN i < 8 THEN -1 WHEN i >= 20 + length(n_name) THEN n_regionkey END AS BIGINT) AS region,
+  CASE WHEN i >= 22 + length(n_name) THEN 'missingComma' END AS reason
+FROM nation, unnest(range(CAST(length(n_name) + 25 AS BIGINT))) AS r(i)""",
         "json_final_props": f"SELECT event_type, CAST(SUM({k}) AS BIGINT) AS sum_k, COUNT(*) AS n FROM events GROUP BY event_type",
         "json_partials": _states_sql(1),
         "json_partials_by_3": _states_sql(3),
