@@ -243,7 +243,8 @@ def _node(raw: Column, kind: T.DataType, path: str, meta: dict, nullable: bool =
     """struct<v, e, z> of tagged text: value, faults by token number, and null paths."""
     none, clean, empty = F.lit(None), F.array().cast(_FAULT), F.array().cast("array<string>")
     out = lambda v, e, z: F.struct(v.cast(kind).alias("v"), e.alias("e"), z.alias("z"))
-    at = F.regexp_extract(raw, r'^[\[{"]*(?:"?[^"]*":)?.*?[snbzf]([0-9]+):', 1).cast("int")
+    at = F.regexp_extract(raw, r'^[\[{"]*(?:"?[^"]*":)?.*?[snbzf]([0-9]+):', 1).try_cast("int")
+    at = F.coalesce(at, F.lit(2**31 - 1))  # an empty container has no number: its place is the end
     fault = lambda why: F.array(F.struct(at.alias("i"), F.lit(why).alias("reason") if isinstance(why, str) else why.alias("reason"))).cast(_FAULT)
     first = F.substring(raw, 1, 1)
 

@@ -13,6 +13,7 @@ from tidewater.operators.chunk_partials import chunk_prefixes, escape_json
 from tidewater.operators.json_decode import Syntax, checked_partials, decode, decoded
 from tidewater.operators.json_partials import byte_partials, decode_prefix, finish_reason
 from tidewater.operators.yaml_blocks import block_mapping, block_sequence, folded_block, literal_block
+from tidewater.operators.yaml_tree import yaml_decoded, yaml_partials
 from tidewater.session import scratch_path, ship, table
 from tidewater.streaming.chunks import OUTPUT, streaming_prefixes
 
@@ -196,7 +197,62 @@ def json_checked_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("n_nationkey", F.col("seq").cast("bigint").alias("seq"), F.col("state.name").alias("name"), F.col("state.region").alias("region"), F.col("error.reason").alias("reason"))
 
 
-QUERIES = [json_errors, json_types, json_syntax, json_nulls, json_nested, json_checked_partials, json_partials, json_partials_by_3, json_chunk_partials, json_number_kinds, json_finish_reasons, json_finish_states, snake_case_keys, yaml_mapping, yaml_sequence, yaml_block_scalars, stream_chunk_partials]
+def yaml_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as block sequences of mappings with flow containers and a literal scalar."""
+    line = F.concat(
+        F.lit("  - number: "), F.col("l_linenumber"), F.lit("  # a line\n    qty: {value: "), F.col("l_quantity").cast("int"), F.lit(', unit: "pcs"}\n    flags: ['),
+        "l_returnflag", F.lit(", "), "l_linestatus", F.lit("]\n    note: |\n      first "), "l_linestatus", F.lit("\n\n      last\n"),
+    )
+    text = F.concat(F.lit("id: "), F.col("l_orderkey"), F.lit("\nlines:\n"), F.array_join(F.collect_list(line), ""), F.lit("done: true\nlimits:\n- 1\n-\n  2\n"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(text.alias("t"))
+    schema = "id bigint, lines array<struct<number:int,qty:struct<value:bigint,unit:string>,flags:array<string>,note:string>>, done boolean, limits array<int>"
+    got = yaml_decoded(rows, F.col("t"), schema, "d")
+    x = F.col("d.value.lines")
+    total = lambda of: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, e: a + of(e))
+    return got.select(
+        F.col("d.value.id").alias("id"), F.size(x).cast("bigint").alias("n"), total(lambda e: e["number"]).alias("numbers"), total(lambda e: e["qty"]["value"]).alias("qty"),
+        total(lambda e: F.when(F.array_contains(e["flags"], "O"), 1).otherwise(0)).alias("n_open"), F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda e: e["note"]))), "|").alias("notes"),
+        F.col("d.value.done").alias("done"), F.array_join("d.value.limits", ",").alias("limits"), F.col("d.error.reason").alias("reason"),
+    )
+
+
+#: What yaml_errors reads, by event_id modulo their number, and its reason, line and column; {n} is the payload's number.
+BROKEN_YAML = [
+    ("k: {n}\nl: [1, 2]", None, None, None), ("k: {n}\nbad", "missingColon", 2, 1), ("k: {n}\n\tl: 1", "unexpectedToken", 2, 1), ("k: {n}\nm:\nl: 1", "missingValue", 3, 1), ("k: {n}\nm: | nope", "invalidMultiLineString", 2, 4),
+    ("k: {n}\nm: |\n", "invalidMultiLineString", 2, 4), ('k: {n}\nm: "abc', "unterminatedString", 2, 4), ("k: {n}\nl: [1, 2", "missingClosingBracket", 2, 9), ("k: {n}\no: {a: 1", "missingClosingBrace", 2, 9),
+    ("k: {n}\n  m: 1", "unexpectedToken", 2, 3), ("k: {n}\nl: [1 2]", "invalidType", None, None), ("k: {n}\nl: [1, 2,]", "trailingComma", None, None), ("k: {n}\nl: [1,, 2]", "missingValue", None, None),
+    ("k: {n}\nl: [x]", "invalidType", None, None), ("k: {n}\nl: [3000000000]", "numericOverflow", None, None), ('k: {n}\nm: "\\u12"', "invalidUnicodeEscape", None, None), ("k: {n}\nl: [01]", "leadingZero", None, None), ("k: {n}\nl: [1e]", "invalidExponent", None, None),
+]
+
+
+def yaml_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings broken in each way that has a reason: the reason, its place, and the number read before it."""
+    n, text = F.get_json_object("props", "$.k"), F
+    for i, (form, *_) in enumerate(BROKEN_YAML):
+        head, tail = form.split("{n}")
+        text = text.when(F.col("event_id") % len(BROKEN_YAML) == i, F.concat(F.lit(head), n, F.lit(tail)))
+    got = yaml_decoded(table(spark, sf_dir, "events").withColumn("t", text), F.col("t"), "k bigint, l array<int>, m string", "d")
+    place = [F.col("d.error")[c].cast(t).alias(c) for c, t in (("reason", "string"), ("line", "bigint"), ("col", "bigint"))]
+    return got.select("event_id", F.col("d.value.k").alias("k"), *place)
+
+
+def yaml_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every state of each nation as a nested mapping."""
+    text = F.concat(F.lit('name: "'), "n_name", F.lit('"\nregion:\n  key: '), "n_regionkey")
+    got = yaml_partials(table(spark, sf_dir, "nation").select("n_nationkey", text.alias("t")), "n_nationkey", "t", "name string, region struct<key:bigint>")
+    return got.select("n_nationkey", F.col("seq").cast("bigint").alias("seq"), F.col("state.name").alias("name"), F.col("state.region.key").alias("key"), F.col("error.reason").alias("reason"))
+
+
+def yaml_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as folded scalars, by built-in expressions and through the reader of nested YAML."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \n]+|\s+\z", "")
+    body = F.concat(F.lit("  "), F.regexp_replace(said, "\n", "\n  "))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("b")).where(F.trim("b") != "")
+    got = yaml_decoded(rows, F.concat(F.lit("said: >\n"), "b", F.lit("\nend: 1")), "said string, end int", "d")
+    return got.select("conv_id", "turn", F.md5(folded_block(F.col("b"))).alias("folded_md5"), F.md5("d.value.said").alias("read_md5"), F.col("d.value.end").cast("bigint").alias("end"))
+
+
+QUERIES = [yaml_nested, yaml_errors, yaml_states, yaml_folded, json_errors, json_types, json_syntax, json_nulls, json_nested, json_checked_partials, json_partials, json_partials_by_3, json_chunk_partials, json_number_kinds, json_finish_reasons, json_finish_states, snake_case_keys, yaml_mapping, yaml_sequence, yaml_block_scalars, stream_chunk_partials]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -243,9 +299,30 @@ def _types_sql() -> str:
     return f"SELECT p_partkey, {', '.join(cols)} FROM part"
 
 
+def _yaml_faults_sql() -> str:
+    at = f"event_id % {len(BROKEN_YAML)}"
+    case = lambda j, show: "CASE " + " ".join(f"WHEN {at} = {i} THEN {show(f[j])}" for i, f in enumerate(BROKEN_YAML) if f[j] is not None) + " END"
+    return f"""
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, {case(1, repr)} AS reason, CAST({case(2, str)} AS BIGINT) AS line, CAST({case(3, str)} AS BIGINT) AS col FROM events"""
+
+
 def oracle_sql() -> dict[str, str]:
     k = "CAST(json_extract(props, '$.k') AS BIGINT)"
     return {
+        "yaml_nested": """
+SELECT l_orderkey AS id, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS numbers, CAST(SUM(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS qty,
+  CAST(SUM(CASE WHEN l_linestatus = 'O' OR l_returnflag = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS n_open,
+  string_agg(DISTINCT 'first ' || l_linestatus || E'\n\nlast', '|' ORDER BY 'first ' || l_linestatus || E'\n\nlast') AS notes, true AS done, '1,2' AS limits, CAST(NULL AS VARCHAR) AS reason
+FROM lineitem GROUP BY l_orderkey""",
+        "yaml_errors": _yaml_faults_sql(),
+        "yaml_states": """
+SELECT n_nationkey, CAST(i AS BIGINT) AS seq, CASE WHEN i >= 6 THEN substr(n_name, 1, CAST(i - 6 AS INTEGER)) END AS name,
+  CASE WHEN i >= 24 + length(n_name) THEN n_regionkey END AS key, CAST(NULL AS VARCHAR) AS reason
+FROM (SELECT n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, unnest(range(length(n_name) + 26)) AS i FROM nation)""",
+        "yaml_folded": r"""
+SELECT conv_id, turn, md5(f) AS folded_md5, md5(f) AS read_md5, CAST(1 AS BIGINT) AS "end"
+FROM (SELECT conv_id, turn, replace(replace(regexp_replace(said, '\n{2,}', chr(1), 'g'), E'\n', ' '), chr(1), E'\n\n') AS f
+  FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^[ \n]+|\s+$', '', 'g') AS said FROM conversations) WHERE said <> '')""",
         "json_errors": _faults_sql(),
         "json_types": _types_sql(),
         "json_syntax": "SELECT o_orderkey, o_orderkey AS key, o_custkey AS cust, CAST(0.5 AS DOUBLE) AS half, true AS is_nan, 'it''s \"' AS status, CAST(2 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS reason FROM orders",
