@@ -10,15 +10,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that go to a Python worker at a time, so that long texts don't add up in it.
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 _local_roots: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors once per application.
+    """Send this package's source to the executors once per application, and bound what a Python worker gets at a time.
 
     Workers on other machines then import it from Spark's own file distribution instead of relying on an installed copy.
     """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(size).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -32,10 +37,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a fresh local one only where that setting is absent (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a fresh local one only where that is unset and Spark runs on one machine."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
