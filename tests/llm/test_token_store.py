@@ -50,3 +50,12 @@ def test_perfect_hash_is_minimal_and_rejects_absent_keys(n):
     h = PerfectHash.load(h.dump())
     assert (h.find(keys) == number).all()
     assert (h.find(keys + np.uint64(1 << 41)) == -1).all()
+
+
+def test_every_character_splits_like_the_library():
+    from tidewater.llm.token_store import WordMemoEncoder
+
+    own = WordMemoEncoder(vocabulary("word_bpe_49k.json"), 1)
+    texts = [f"ab{chr(c)}cd {chr(c)} x" for c in [*range(0x3100), 0xFEFF, 0x1F600]]
+    for text, ids, want in zip(texts, own.encode(texts), plain(texts), strict=True):
+        assert np.frombuffer(ids, own.dtype).astype("<u4").tolist() == want.tolist(), repr(text)

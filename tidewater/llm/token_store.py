@@ -21,6 +21,7 @@ documents; an empty table gives a store without shards; extra columns are ignore
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,9 +41,11 @@ HEADER = struct.Struct("<4sHHQ")
 GAMMA = 2.0
 #: Keys per index bucket; the number of buckets grows with the keys, so that one bucket always fits in a task.
 BUCKET_KEYS = 1 << 16
-#: Words whose ids a worker remembers before it starts afresh (about 150 bytes each).
-MEMO_WORDS = 600_000
-_WHITE = " \t\n\x0b\x0c\r"
+#: Words whose ids a worker remembers in each of two generations (about 150 bytes each).
+MEMO_WORDS = 400_000
+#: Characters that str.split takes for white space and the tokenizers library doesn't.
+_NOT_WHITE = re.compile("[\x1c-\x1f]")
+_WHITE = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class WordMemoEncoder:
@@ -62,15 +65,21 @@ class WordMemoEncoder:
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            words = text.split()
-            new = list({w for w in words if w not in self.memo})
+            words = [w for w in _WHITE.split(text) if w] if _NOT_WHITE.search(text) else text.split()
+            new = {w for w in words if w not in self.memo}
+            if len(self.memo) + len(new) > MEMO_WORDS:
+                self.memo, self.older = {}, self.memo
+                new = set(words)
+            if new and self.older:
+                known = self.older.keys() & new
+                self.memo.update((w, self.older[w]) for w in known)
+                new -= known
             if new:
-                if len(self.memo) + len(new) > MEMO_WORDS:
-                    self.memo.clear()
-                    new = list(set(words))
+                new = list(new)
                 e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
                 ids = np.array(e.ids, self.dtype)
                 ends = np.bincount(np.array(e.word_ids, np.int64), minlength=len(new)).cumsum().tolist() if len(ids) else [0] * len(new)
@@ -265,7 +274,7 @@ def _read_spans(batches: Iterator[pd.DataFrame], out: str, payload: bool) -> Ite
     name, src = None, None
     fs, root = _open(f"{out}/data")
     for b in batches:
-        got = []
+        got, held = [], 0
         for file, n, base, key, ordinal, count in zip(b["file"], b["n_shard"], b["base"], b["key"], b["ordinal"], b["n_docs"], strict=True):
             if file != name:
                 if src is not None:
@@ -285,9 +294,10 @@ def _read_spans(batches: Iterator[pd.DataFrame], out: str, payload: bool) -> Ite
                 src.seek(HEADER.size + lo * width)
                 ids = np.frombuffer(src.read((hi - lo) * width), f"<u{width}").astype("<u4").tobytes()
                 got.append((None if null else int(key), base + lo, hi - lo, zlib.crc32(ids), ids if payload else None))
-                if sum(len(x[4] or b"") for x in got[-1:]) > 1 << 24 or len(got) >= 4096:
+                held += len(ids) if payload else 0
+                if held > 1 << 24 or len(got) >= 4096:
                     yield _frame(got)
-                    got = []
+                    got, held = [], 0
         yield _frame(got)
 
 
