@@ -1,6 +1,6 @@
 import duckdb
 
-from tidewater.llm.quality import judge, judged_sql
+from tidewater.llm.quality import BASE, RULES, judge, judged_sql, rated
 from tidewater.llm.queries import op3_quality
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -24,3 +24,23 @@ def test_edges(spark, tmp_path):
     both(judge(frame), f"select * from '{tmp_path}/d/*.parquet'")
     assert judge(frame).where("doc_id = 9").first().kept
     assert judge(frame.limit(0)).count() == 0
+
+
+def test_order_follows_the_sample(spark):
+    long = " ".join(f"word{i}" for i in range(80))
+    symbols = [(long + " #" * 60,)] * 40 + [(long,)] * 60
+    repeats = [("alpha beta gamma " * 60,)] * 40 + [(long,)] * 60
+    for rows, first in ((symbols, "symbols"), (repeats, "repeats")):
+        order = rated(spark.createDataFrame(rows, "text string"))
+        assert order[0][0].name == first and len(order) == len(BASE + RULES)
+        assert [x[1] / x[2] for x in order] == sorted((x[1] / x[2] for x in order), reverse=True)
+    costs = {r.name: c for r, _, c in rated(spark.createDataFrame([(long,)], "text string"))}
+    assert costs["repeats"] > costs["dup_lines"] > costs["few_words"]
+
+
+def test_cascade_without_measures_and_repeated_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.union(docs.where("doc_id < 20")).withColumn("failed_rule", docs.doc_id)
+    want = sorted((r.doc_id, r.kept) for r in judge(docs).collect())
+    lean = judge(docs, with_measures=False)
+    assert sorted((r.doc_id, r.kept) for r in lean.collect()) == want and "n_words" not in lean.columns
