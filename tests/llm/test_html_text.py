@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from tidewater.llm.html_text import extract_text, main_text, trained
 from tidewater.llm.queries import op4_html_text
@@ -49,3 +50,11 @@ def test_text_before_linked_blocks_stays_and_link_lists_go():
         assert main_text(f"<body><div><p>{body}</p><p>{body}</p></div>{after}</body>", tree) == f"{body}\n\n{body}"
     assert main_text(f"<article><p>{body}</p><p><a href=/x>All of these parts</a></p><ul>{links}</ul><p>{body}</p></article>", tree) == f"{body}\n\n{body}"
     assert main_text(f"<body><ul>{links}</ul><p>{body}</p><p>No.</p><p>{body}</p></body>", tree) == f"{body}\n\nNo.\n\n{body}"
+
+
+def test_hostile_pages_are_read_in_one_pass():
+    tree = trained()
+    began = time.perf_counter()
+    for page in ("<a " * 20_000, "<!--" * 20_000, "<![CDATA[" * 20_000 + ">", "<?" * 20_000, "</" * 20_000, "<title>" * 20_000, "<p>kept</p>" + "<a " * 50_000, "<a b='" * 20_000 + ">"):
+        assert main_text(page, tree) in ("", ">", "kept")
+    assert time.perf_counter() - began < 8

@@ -127,9 +127,22 @@ class Blocks(HTMLParser):
                 self.linked += len("".join(data.split()))
 
 
+#: Elements whose inside is no markup, and comments; an unclosed one goes to the end of the page.
+_UNREAD = re.compile(r"<(script|style|title|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[|<\?[^>]*(?:>|\Z)", re.I | re.S)
+
+
 def blocks_of(html: str | None) -> list[tuple[str, int, bool, bool]]:
+    """The blocks of a page.  A tag that the page's end cuts off is dropped with what follows it, so that broken markup is
+    read in one pass."""
+    page = _UNREAD.sub("", html or "")
     p = Blocks()
-    p.feed(html or "")
+    end = page.rfind(">") + 1
+    p.feed(page[:end])
+    tail = page.find("<", end)
+    while tail >= 0 and not re.match(r"[a-zA-Z/!?]", page[tail + 1 : tail + 2]):
+        tail = page.find("<", tail + 1)
+    rest = page[end:] if tail < 0 else page[end:tail]
+    p.feed(rest.replace("<", "&lt;"))
     p.close()
     p.flush()
     return p.blocks
