@@ -1,6 +1,7 @@
 import hashlib
 import random
 import string
+import time
 
 from tests.llm.brute import secrets
 from tidewater.llm.queries import op6_secrets
@@ -62,3 +63,21 @@ def test_keys_without_digits_or_with_late_ones_are_found_and_words_are_not(spark
     for at in (0, 60, 120):
         assert sum(f"random:4:{4 + len(keys[i])}" in got[i] for i in range(at, at + 60)) >= 54
     assert not any("random" in got[len(keys) + i] for i in range(len(plain)))
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    docs = [(i, "token=abcdefgh " * n) for i, n in enumerate((5_000, 20_000))] + [(2, "x")]
+    frame = spark.createDataFrame([(*d, "b", "f") for d in docs], "doc_id long, text string, base string, found string")
+    began = time.perf_counter()
+    held(secret_report(frame).collect(), docs)
+    out = {r.doc_id: r for r in redact(frame).collect()}
+    assert time.perf_counter() - began < 60
+    assert out[1].text == "[secret] " * 20_000 and out[2].text == "x" and out[0].base == "b" and out[0].found == "f"
+
+
+def test_repeated_rows_and_overlapping_spans(spark):
+    text = "secret=" + "0123456789abcdef" * 3 + " " + "AKIA" + "ABCDEFGHIJKLMNOP"
+    frame = spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")
+    held(secret_report(frame.where("doc_id = 2")).collect(), [(2, None)])
+    assert len({tuple(r) for r in secret_report(frame).collect() if r.doc_id == 1}) == 1
+    assert [r.text for r in redact(frame).where("doc_id = 1").collect()] == ["[secret] [secret]"] * 2

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.arrays import running_max, running_sum
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -37,12 +39,10 @@ def _matches(text: Column, pattern: str, kind: int, judged: int = 0) -> Column:
     none = F.array().cast("array<struct<start:int,kind:int,end:int,word:string>>")
 
     def placed(x: Column) -> Column:
-        step = lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gap"]) + F.length(p["all"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["gap"])).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(p["gap"]) + F.length(p["all"])).alias("end"), p["word"].alias("word")))).alias("out"),
-        )
-        pairs = F.transform(F.sequence(F.lit(1), F.size(x["all"])), lambda i: F.struct(F.element_at(x["gap"], i).alias("gap"), F.element_at(x["all"], i).alias("all"), F.element_at(x["word"], i).alias("word")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+        # where each match ends: the lengths of all gaps and matches up to it
+        long = F.transform(x["all"], lambda m: F.length(m))
+        ends = running_sum(F.zip_with(F.transform(F.slice(x["gap"], F.lit(1), F.size(x["all"])), lambda g: F.length(g)), long, lambda g, m: g + m))
+        return _once(F.struct(ends.alias("end"), long.alias("long")), lambda e: F.transform(x["word"], lambda w, i: F.struct((F.get(e["end"], i) - F.get(e["long"], i)).alias("start"), F.lit(kind).alias("kind"), F.get(e["end"], i).alias("end"), w.alias("word"))))
 
     found = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(judged)).alias("word"))
     return F.when(text.rlike(pattern), _once(found, placed)).otherwise(none)
@@ -112,15 +112,17 @@ def _bare(found: Column) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with base (array of the fixed kinds' spans) and found (these and the random tokens), by start, then kind."""
+def find_secrets(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with base (array of the fixed kinds' spans) and found (these and the random tokens), by start, then kind, each
+    under ``prefix``; columns of these names are replaced."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(
         _bare(F.filter(_matches(body, ASSIGN, 0, 2), lambda s: F.length(s["word"]) >= 8)),
         _bare(_matches(body, ACCESS, 1)),
         _bare(_matches(body, HEX, 2)),
     )
-    return docs.withColumn("base", F.array_sort(base)).withColumn("found", F.array_sort(F.concat("base", _random(_matches(body, LONG, 3)))))
+    out = docs.withColumn(prefix + "base", F.array_sort(base))
+    return out.withColumn(prefix + "found", F.array_sort(F.concat(prefix + "base", _random(_matches(body, LONG, 3)))))
 
 
 def _joined(spans: str) -> Column:
@@ -140,11 +142,14 @@ def secret_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mask``; null text stays null."""
-    step = lambda t, acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"),
-    )
-    found = find_secrets(docs.drop("base", "found"), text)
-    t = F.col(text)
-    cut = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: step(t, acc, s), lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("found") > 0, cut).otherwise(t)).drop("base", "found")
+    found = find_secrets(docs, text, "_secret_")
+    t, spans = F.col(text), F.col("_secret_found")
+
+    def cut(reach: Column) -> Column:
+        """The text between the spans; ``reach`` is how far the spans up to each one go."""
+        before = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+        pieces = F.transform(spans, lambda s, i: F.when(s["start"] < before(i), F.lit("")).otherwise(F.concat(F.substring(t, before(i) + 1, s["start"] - before(i)), F.lit(mask))))
+        return F.concat(F.array_join(pieces, ""), F.substring(t, F.get(reach, F.size(reach) - 1) + 1, F.length(t)))
+
+    out = _once(running_max(F.transform(spans, lambda s: s["end"])), cut)
+    return found.withColumn(text, F.when(F.size(spans) > 0, out).otherwise(t)).drop("_secret_base", "_secret_found")
