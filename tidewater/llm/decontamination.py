@@ -19,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.arrays import running_max
 from tidewater.session import materialize, ship
 
 WINDOW = 13
@@ -231,6 +232,26 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(out, [*b.schema.names[:-1], "n_words", "spans", "items"])
 
 
+def merged_spans(spans: Column) -> Column:
+    """The same for a column of spans in any order."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def joined(x: Column) -> Column:
+        def cut(reach: Column) -> Column:
+            opens = F.transform(x, lambda s, i: F.when(i > 0, s[0] > F.get(reach, i - 1)).otherwise(True))
+
+            def zipped(o: Column) -> Column:
+                begin = F.transform(F.filter(x, lambda s, i: F.get(o, i)), lambda s: s[0])
+                end = F.filter(reach, lambda r, i: F.coalesce(F.get(o, i + 1), F.lit(True)))
+                return F.zip_with(begin, end, lambda b, e: F.array(b, e.cast("long")))
+
+            return once(opens, zipped)
+
+        return once(running_max(F.transform(x, lambda s: s[1].cast("int"))), cut)
+
+    return once(F.array_sort(spans), joined)
+
+
 def find_windows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_words, spans (merged word ranges, end exclusive) and the items that occur.
 
@@ -259,8 +280,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     flat = every.groupBy("row").agg(
         F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     ).drop("row")
-    join = F.udf(lambda s: [list(x) for x in merged([tuple(x) for x in s])], "array<array<long>>")
-    return flat.withColumn("spans", join("spans")).withColumnRenamed("id", key)
+    return flat.withColumn("spans", merged_spans(F.col("spans"))).withColumnRenamed("id", key)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
