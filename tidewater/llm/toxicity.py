@@ -1,6 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Training reads at most MAX_ROWS labelled rows, taken by a hash of the id.  Features are hashed n-grams of the lower-cased
+Training reads at most MAX_ROWS labelled rows, taken by a hash of the id; a text that would bring its characters over MAX_CHARS
+is passed over, and the next ones are taken.  Features are hashed n-grams of the lower-cased
 characters, present or not; each counts with its log ratio of smoothed class frequencies, and logistic regression with an
 L2 penalty learns the weights.  The model is two vectors of FEATURES numbers, whatever the data's size.
 
@@ -77,11 +78,12 @@ def fit(rows: list[tuple[np.ndarray, int]], passes: int = 5) -> tuple[np.ndarray
     return w * ratio, b
 
 
-def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, text: int, passed: int) -> Iterator[pa.RecordBatch]:
+    """The first ``passed`` columns and the score of column ``text``."""
     for b in batches:
-        z = np.array([float(weights[features(t.as_py())].sum(dtype=np.float64)) + bias for t in b.column(b.num_columns - 1)])
+        z = np.array([float(weights[features(t.as_py())].sum(dtype=np.float64)) + bias for t in b.column(text)])
         score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], [str(i) for i in range(b.num_columns)])
+        yield pa.RecordBatch.from_arrays([*b.columns[:passed], pa.array(score, pa.float64())], [str(i) for i in range(passed + 1)])
 
 
 def held_out(key: str = "doc_id"):
@@ -95,20 +97,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows, chars = [], 0
     got = materialize(docs.select(F.col(key).alias("id"), F.col(text).alias("body")).join(F.broadcast(few), "id"), "labelled")
     for r in got.orderBy("o", "id", "y").toLocalIterator():
+        if chars + len(r.body or "") > MAX_CHARS:
+            continue
         chars += len(r.body or "")
-        if chars > MAX_CHARS:
-            break
         rows.append((features(r.body), r.y))
     return fit(rows)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with score, predicted and held_out; columns of these names are replaced."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with score, predicted and held_out, each under ``prefix``; columns of these names are replaced."""
     spark = docs.sparkSession
     ship(spark)
     weights, bias = train(docs, labels, key, text)
     model = spark.sparkContext.broadcast(weights)
-    keep = docs.drop("score", "predicted", "held_out")
-    schema = StructType(list(keep.schema.fields)).add("score", "double")
-    rows = keep.withColumn("_body", F.col(text)).mapInArrow(lambda it: _score(it, model.value, bias), schema)
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumn("held_out", held_out(key))
+    score, predicted, held = (prefix + n for n in ("score", "predicted", "held_out"))
+    keep = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in (score, predicted, held)])
+    names = keep.columns
+    # the text goes to the workers once, unless it is not among the columns that come back
+    rows, at = (keep, names.index(text)) if text in names else (docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias("_body")), len(names))
+    schema = StructType(list(keep.schema.fields)).add(score, "double")
+    out = rows.mapInArrow(lambda it: _score(it, model.value, bias, at, len(names)), schema)
+    return out.withColumn(predicted, (F.col(f"`{score}`") >= threshold).cast("int")).withColumn(held, held_out(key))
