@@ -8,12 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.bpe import encode_column
-from tidewater.llm.decontamination import contamination
-from tidewater.llm.near_dedup import near_duplicates
-from tidewater.llm.queries import vocabulary
-from tidewater.llm.secrets import redact
-from tidewater.llm.toxicity import score_toxicity
 from tidewater.session import materialize, table
 
 #: tests/llm/test_pipeline.py holds the stage against all pairs at this similarity.
@@ -21,9 +15,11 @@ NEAR_PERCENT = 85
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(docs.columns)
+    """Documents predicted toxic go; null and empty texts are judged like others, repeated rows each for itself."""
+    from tidewater.llm.toxicity import score_toxicity
+
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), prefix="_toxic_")
+    return scored.where("_toxic_predicted = 0").select(docs.columns)
 
 
 def keyed(docs: DataFrame, label: str) -> DataFrame:
@@ -37,6 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null ids come last, so a row without id stays where no row with one is a near copy.  Texts without words are near
     copies of nothing: of these, rows that repeat an id and text shrink to one, and rows without id all stay.
     """
+    from tidewater.llm.near_dedup import near_duplicates
+
     rows = keyed(docs, "near-rows")
     groups = near_duplicates(rows, percent=NEAR_PERCENT, key="_row").select("_row", "n_shingles", "component_id")
     empty = F.col("n_shingles") == 0
@@ -51,20 +49,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which a twentieth or more is benchmark text go, each judged by itself."""
+    """Rows of which a twentieth or more is benchmark text go, each judged by itself; null and wordless texts stay."""
+    from tidewater.llm.decontamination import contamination
+
     rows = keyed(docs, "benchmark-rows")
     bad = contamination(rows, table(spark, sf_dir, "benchmark"), key="_row").where("contaminated").select("_row")
     return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret in a text is masked; n_chars follows."""
-    return redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+    """Every secret in a text is masked; n_chars follows, where it is a column.  Null texts stay null."""
+    from tidewater.llm.secrets import redact
+
+    out = redact(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in out.columns else out
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens and the digests of the ids and of their decoding; null text is empty."""
     import public_tokenizers
 
+    from tidewater.llm.bpe import encode_column
+    from tidewater.llm.queries import vocabulary
+
     return encode_column(docs.select("doc_id", "text"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
