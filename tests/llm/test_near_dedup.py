@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.brute import near
-from tidewater.llm.near_dedup import banding, near_duplicates
+from tidewater.llm.near_dedup import Signer, allowed, banding, looked_up, near_duplicates
 from tidewater.llm.queries import op5_near_dedup
 from tidewater.session import table
 
@@ -55,3 +56,45 @@ def test_bands_follow_the_threshold():
     for percent in (80, 85, 90):
         rows, bands = banding(percent)
         assert (1 - (percent / 100) ** rows) ** bands <= 2e-6
+
+
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"w{rng.randrange(99999)}" for _ in range(30)) for _ in range(3))
+    docs = [(1, a), (1, b), (3, b), (3, b), (None, b), (None, c), (5, c + " x"), (None, None)]
+    frame = spark.createDataFrame([(d, t, None, None, None) for d, t in docs], KIND)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(frame).collect()), key=str)
+    assert got == sorted([(1, 26, 1), (1, 26, 1), (3, 26, 1), (3, 26, 1), (None, 26, 1), (None, 26, None), (5, 27, 5), (None, 0, None)], key=str)
+
+
+def test_sketches_of_linked_sets_are_near():
+    rng = np.random.default_rng(3)
+    signer = Signer(*banding(85))
+    for size in (5, 30, 200, 1500, 6000):
+        for _ in range(60):
+            x = rng.integers(1 << 63, size=size, dtype=np.uint64) * np.uint64(2)
+            both = -(-85 * size // 100)
+            cut = both + rng.integers(size - both + 1)
+            pair = [np.sort(x[:cut]), np.sort(np.concatenate([x[:both], x[cut:]]))]
+            (_, u, k), (_, v, m) = (signer.sign(s) for s in pair)
+            assert np.bitwise_count((u ^ v).view(np.uint64)).sum() <= allowed(float(len(pair[0])), float(len(pair[1])), k, m, 85)
+
+
+def test_many_texts_just_under_the_threshold_are_told_apart(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(9999)}" for _ in range(120)]
+    docs = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
+        docs.append((i, " ".join(w)))
+    check(spark, docs)
+
+
+def test_frequent_keys_are_looked_up_whole(spark):
+    rows = spark.createDataFrame([(i % 3 if i < 90 else i,) for i in range(100)], "k long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("k").alias("v"))
+    for total in (100, 100_000):
+        got = looked_up(rows, table, "k", "n", total)
+        assert got.count() == 100 and got.where("k <> v").count() == 0

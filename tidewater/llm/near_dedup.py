@@ -1,14 +1,21 @@
 """Near-duplicate documents by banded MinHash with odd sketches, confirmed on full shingle sets.
 
 A document's set holds its distinct five-word shingles.  Texts with the same word sequence are one class, and only the
-class's smallest id goes on.  Each class's MinHash samples make the band keys and, folded into a parity bitmap, its odd
-sketch.  In each bucket first every member is compared with the smallest one, so a bucket of n near copies costs n
-comparisons; only members that are then still apart are compared with the rest of the bucket.  Pairs whose sketches differ
-in too many bits are dropped inside the join, the others are confirmed on the full sets.
+class's smallest id goes on.  MinHash samples of a class make its band keys; more of them, the least shingle in each of
+SAMPLES ranges of the hash (as good as the set itself where that is small), are folded into a parity bitmap, its odd sketch.
+The bits in which two sketches differ estimate the similarity: pairs whose estimate is SLACK deviations under the threshold
+are dropped, the others are confirmed on the full sets.
+
+Which pairs of a bucket are compared: in each of ROUNDS rounds every member that is still apart from the bucket's pivots so
+far is compared with the next one, and of the near ones only the nearest over all its buckets is confirmed, so a bucket of n
+near copies costs n comparisons and each document one confirmation.  What is apart then is compared with the whole bucket, in
+blocks of sketches inside a task: no pair is a row before its sketches are near.
+
+Keys that many rows share (words of copies, centres of stars) are looked up by a broadcast of at most SPREAD of them.
 
 Defined results: null, empty or wordless text has an empty set and links with nothing; under five words the whole sequence
-is one shingle; an id names a document, so callers whose ids repeat or are null give a row key instead; other columns are
-left alone; an empty table gives no rows.
+is one shingle; rows that repeat an id are one document, linked by any of their texts; a row of null id takes the component
+of an equal text that has one, else null, and links nothing; other columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +33,11 @@ from tidewater.session import materialize, ship
 WIDTH = 5
 #: Chance that a pair right at the threshold shares no band.
 MISSED = 2e-6
-SKETCH_BITS = 1024
-#: Sketches of two sets at the threshold differ by fewer bits than this but for one pair in some millions.
-SKETCH_SLACK = 6.0
+SAMPLES = SKETCH_BITS = 2048
+#: Of 8,000 pairs right at the threshold, of each of six sizes from 7 to 2,000 shingles, none differed by more bits than this allows.
+SLACK = 3.0
+#: Rounds of stars, sketches in a block, and the share of the rows (one in SPREAD) from which on a key is frequent.
+ROUNDS, BLOCK, SPREAD = 2, 2048, 1000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -45,7 +54,7 @@ def word_hashes(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
     for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
         h = memo.get(w)
         if h is None:
-            if len(memo) > 500_000:
+            if len(memo) > 200_000:
                 memo.clear()
             h = memo[w] = xxhash.xxh3_64_intdigest(w)
         out.append(h)
@@ -70,6 +79,21 @@ def banding(percent: int) -> tuple[int, int]:
     return rows, math.ceil(math.log(MISSED) / math.log1p(-max(0.01, min(0.99, percent / 100)) ** rows))
 
 
+def allowed(na, nb, ka, kb, percent: int, m=np):
+    """The most bits in which the sketches of linked sets of these sizes and numbers of samples differ; of arrays, or with
+    ``m`` = pyspark.sql.functions of columns."""
+    t = percent / 100
+    drawn = lambda x: SAMPLES * (1 - m.exp(x * math.log1p(-1 / SAMPLES)))
+    union = (na + nb) / (1 + t)
+    of_union = drawn(union) * (ka + kb) / (drawn(na) + drawn(nb))
+    left_out = m.abs(union - of_union) / (union - 1 + 1e-9)
+    both = t * of_union - SLACK * m.sqrt(of_union * t * (1 - t) * left_out)
+    differ = m.abs(ka + kb - 2 * both)
+    kept = m.exp(-2 * differ / SKETCH_BITS)
+    spread = m.abs(SKETCH_BITS / 4 * (1 - kept * kept) - differ * kept * kept)
+    return SKETCH_BITS / 2 * (1 - kept) + SLACK * m.sqrt(spread)
+
+
 class Signer:
     def __init__(self, rows: int, bands: int) -> None:
         rng = np.random.default_rng(20240)
@@ -77,7 +101,6 @@ class Signer:
         k = rows * bands
         self.mul = rng.integers(1 << 31, size=k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.flip = rng.integers(1 << 32, size=k, dtype=np.uint32)
-        self.salt = rng.integers(1 << 63, size=k, dtype=np.uint64)
         self.band = np.arange(bands, dtype=np.uint64) * _M1
 
     def minima(self, s: np.ndarray) -> np.ndarray:
@@ -91,15 +114,16 @@ class Signer:
             np.minimum(low, part.min(axis=1), out=low)
         return low
 
-    def sign(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band keys, and the odd sketch: bit b is the parity of the samples that fall on b."""
-        low = self.minima(s).astype(np.uint64)
+    def sign(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Band keys; the odd sketch: bit b is the parity of the samples that fall on b; and the number of samples."""
         key = self.band.copy()
-        for row in low.reshape(-1, self.rows).T:
+        for row in self.minima(s).astype(np.uint64).reshape(-1, self.rows).T:
             key = _mix(key * _M1 + row)
-        bits = (_mix(low ^ self.salt) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        part = s >> np.uint64(64 - SAMPLES.bit_length() + 1)
+        least = s[np.concatenate(([True], part[1:] != part[:-1]))]  # the set is sorted
+        bits = (_mix(least * _M1) % np.uint64(SKETCH_BITS)).astype(np.int64)
         parity = (np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-        return key.view(np.int64), np.packbits(parity).view(np.int64)
+        return key.view(np.int64), np.packbits(parity).view(np.int64), len(least)
 
 
 def _signed(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
@@ -107,17 +131,19 @@ def _signed(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterato
 
     signer, memo = Signer(rows, bands), {}
     for b in batches:
-        n, names, keys, bits = [], [], [], []
+        n, names, keys, bits, samples = [], [], [], [], []
         for t in b.column(1):
             words = word_hashes(t.as_py(), memo)
             s = shingle_set(words)
             n.append(len(s))
             names.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(s) else None)
-            k, o = signer.sign(s) if len(s) else (None, None)
+            k, o, m = signer.sign(s) if len(s) else (None, None, None)
             keys.append(k)
             bits.append(o)
+            samples.append(m)
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, longs), pa.array(bits, longs)], ["id", "n_shingles", "name", "bands", "sketch"])
+        made = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, longs), pa.array(bits, longs), pa.array(samples, pa.int32())]
+        yield pa.RecordBatch.from_arrays([b.column(0), *made], ["id", "n_shingles", "name", "bands", "sketch", "samples"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,30 +166,69 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; only the texts of documents in a pair are read for it."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(docs.join(used, "id").mapInArrow(_sets, "id long, shingles binary"), "sets")
+def _by_block(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of a bucket - its odd members, and any - the pairs (a > b) of different components that look near, each
+    in the first bucket that both are in."""
+
+    def block(column: pa.Array) -> tuple[np.ndarray, ...]:
+        *first, bands, sketch = column.flatten().flatten()  # id, comp, n, samples
+        wide = [x.flatten().to_numpy().reshape(len(x), -1) for x in (bands, sketch)]
+        return (*(c.to_numpy() for c in first), wide[0], wide[1].view(np.uint64))
+
+    for batch in batches:
+        first, second = [], []
+        for i in range(batch.num_rows):
+            bucket, main = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            ia, ca, na, ka, ba, sa = block(batch.column(2).slice(i, 1))
+            ib, cb, nb, kb, bb, sb = block(batch.column(3).slice(i, 1))
+            for at in range(0, len(ia), 64):
+                part = slice(at, at + 64)
+                u, v = na[part, None].astype(float), nb[None, :].astype(float)
+                x, y = np.nonzero((ca[part, None] != cb) & ((cb == main) | (ia[part, None] > ib)) & (100 * np.minimum(u, v) >= percent * np.maximum(u, v)))
+                x = x + at
+                bits = np.bitwise_count(sa[x] ^ sb[y]).sum(axis=1, dtype=np.int64)
+                near = bits <= allowed(na[x].astype(float), nb[y].astype(float), ka[x].astype(float), kb[y].astype(float), percent)
+                x, y = x[near], y[near]
+                same = ba[x] == bb[y]
+                mine = ba[x, np.argmax(same, axis=1)] == bucket
+                first.append(np.maximum(ia[x], ib[y])[mine])
+                second.append(np.minimum(ia[x], ib[y])[mine])
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, whose ``n`` is how many of ``total`` rows may have its key (each key there once).
+
+    The keys of more than one row in SPREAD, hence at most SPREAD of them, go to all tasks; the others are shuffled.
+    """
+    often = table.where(F.col(n) > total // SPREAD)
+    seldom = table.where(F.col(n) <= total // SPREAD)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom.hint("merge"), key)
+    return rest.unionByName(rows.join(F.broadcast(often), key))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
-    return rows.mapInArrow(lambda it: _confirmed(it, percent), "a long, b long")
+    rows = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "sa", "sb")
+    return materialize(rows.mapInArrow(lambda it: _confirmed(it, percent), "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every id in an edge: the smallest id reachable.
 
-    Each round rewrites edges as links to the smallest neighbour, which keeps their number, until nothing changes.  A
-    vertex with many links is a key of sums only, never a group in one task.
+    Each round links the neighbours of a vertex, and the vertex, to the smallest of them, which keeps the number of edges,
+    until nothing changes.  A vertex with many links is a key of sums, and is looked up without being dealt to one task.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        # every neighbour of u, and u itself, is linked with the smallest of them
-        star = e.join(low, "u").select(F.col("v").alias("x"), "m", F.lit(1).alias("d")).union(low.select("u", "m", F.lit(0)))
-        up = star.union(e.withColumnRenamed("u", "w").join(low, F.col("v") == F.col("u")).select(F.col("w").alias("x"), "m", F.lit(1)))
-        nxt = materialize(up.where("x <> m").select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct(), "edges")
+        low = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "low")
+        total = 2 * e.count()
+        star = looked_up(both, low, "u", "n", total).select(F.col("v").alias("x"), "m").union(low.select("u", "m"))
+        nxt = materialize(star.where("x <> m").select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct(), "edges")
         # done when no id is both a child and a parent and each child has one parent: then every edge is (member, root)
         kids = nxt.groupBy("u").agg(F.count("*").alias("n"))
         twice = kids.where("n > 1").limit(1).count()
@@ -179,41 +244,53 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     ship(spark)
     rows, bands = banding(percent)
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
-    signed = materialize(src.mapInArrow(lambda it: _signed(it, rows, bands), "id long, n_shingles long, name binary, bands array<long>, sketch array<long>"), "signed")
-    classes = signed.where("name is not null").groupBy("name").agg(F.min("id").alias("rep"))
-    member = signed.select("id", "n_shingles", "name").join(classes, "name", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
+    signed = materialize(src.mapInArrow(lambda it: _signed(it, rows, bands), "id long, n_shingles long, name binary, bands array<long>, sketch array<long>, samples int"), "signed")
+    classes = materialize(signed.where("name is not null").groupBy("name").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    named = signed.where("name is not null").select("id", "n_shingles", "name")
+    member = looked_up(named, classes, "name", "n", signed.count()).select("id", "n_shingles", "rep")
+    member = member.union(signed.where("name is null").select("id", "n_shingles", F.col("id").alias("rep")))
     # the samples depend on the set alone, so the representative's row is the class's
-    reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n_shingles", "bands", "sketch")
-    keys = reps.select("id", F.explode("bands").alias("bucket"))
-    full = keys.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    inside = materialize(keys.join(full, "bucket").select("bucket", "id", "low"), "buckets")
+    chosen = classes.where("rep is not null").select("name", F.col("rep").alias("id"))
+    reps = materialize(signed.join(chosen.hint("merge"), ["name", "id"]).dropDuplicates(["name", "id"]).select("id", "n_shingles", "samples", "bands", "sketch"), "reps")
+    keys = reps.select("id", F.explode("bands").alias("bucket")).repartition("bucket")
+    full = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    inside = materialize(keys.join(full.hint("merge"), "bucket").distinct(), "buckets")
+    used = inside.select("id").distinct()
+    sets = materialize(src.join(used.hint("merge"), "id").mapInArrow(_sets, "id long, shingles binary"), "sets")
 
-    words = SKETCH_BITS // 64
-    apart = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, words)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
-    k = rows * bands
-    far = (1 - percent / 100) * k
-    most = int(2 * (far + SKETCH_SLACK * (far * percent / 100) ** 0.5)) + 1
+    apart = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+    most = allowed(F.col("nsa"), F.col("nsb"), F.col("ksa"), F.col("ksb"), percent, F)
 
     def sketched(name: str, col: str) -> DataFrame:
-        return reps.select(F.col("id").alias(name), F.col("sketch").alias(col), F.col("n_shingles").alias(f"n{col}"))
+        return reps.select(F.col("id").alias(name), F.col("sketch").alias(col), F.col("n_shingles").alias(f"n{col}"), F.col("samples").alias(f"k{col}")).hint("merge")
 
     sizes = f"100 * least(nsa, nsb) >= {percent} * greatest(nsa, nsb)"
-    stars = inside.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    near = stars.join(sketched("a", "sa"), "a").join(sketched("b", "sb"), "b").where(sizes).where(apart("sa", "sb") <= most)
-    links = materialize(confirm(materialize(near.select("a", "b"), "near"), src, percent), "links")
-    comp = components(links)
-
-    # second look: buckets that still hold more than one component
-    at = materialize(inside.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")), "placed")
-    parts = at.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    top = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    wide = at.join(top, "bucket").join(reps.select("id", "sketch", "n_shingles"), "id")
-    odd = wide.where("comp <> main").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("nsa"))
-    rest = wide.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), "main", F.col("sketch").alias("sb"), F.col("n_shingles").alias("nsb"))
-    again = odd.join(rest, "bucket").where("ca <> cb and (cb = main or a < b)").where(sizes).where(apart("sa", "sb") <= most)
-    again = materialize(again.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), "again")
-    more = materialize(confirm(again, src, percent), "links")
+    links, comp, main = None, None, None
+    at = inside.select("bucket", "id", F.col("id").alias("comp"))
+    for _ in range(ROUNDS):
+        # the pivot of a bucket is the smallest id not in the component of an earlier one
+        left = at if main is None else at.join(main.hint("merge"), "bucket").where("comp <> main").select("bucket", "id", "comp")
+        pivot = left.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), "id").alias("p"))
+        stars = left.join(pivot.hint("merge"), "bucket").where("comp <> p.comp").select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()
+        near = stars.join(sketched("a", "sa"), "a").join(sketched("b", "sb"), "b").where(sizes).select("a", "b", apart("sa", "sb").alias("bits"), most.alias("most")).where("bits <= most")
+        best = materialize(near.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b")), "near")
+        found = confirm(best, sets, percent)
+        links = found if links is None else links.union(found)
+        comp = components(links)
+        at = materialize(inside.join(comp.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")), "placed")
+        parts = at.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        main = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+        main = materialize(main.select("bucket", "main", F.ceil(F.col("n") / BLOCK).alias("blocks")), "main")
+
+    # what is still apart, against the whole bucket
+    open_ = at.join(main.hint("merge"), "bucket").join(reps.withColumnRenamed("n_shingles", "n").hint("merge"), "id")
+    row = F.struct("id", "comp", "n", "samples", "bands", "sketch")
+    placed = open_.select("bucket", "main", "comp", F.pmod(F.xxhash64("id"), "blocks").alias("block"), row.alias("row"))
+    odd = placed.where("comp <> main").groupBy("bucket", "main", "block").agg(F.collect_list("row").alias("odd")).select("bucket", "main", "odd")
+    every = placed.groupBy("bucket", "block").agg(F.collect_list("row").alias("all")).select("bucket", "all")
+    pairs = odd.join(every.hint("merge"), "bucket").select("bucket", "main", "odd", "all").mapInArrow(lambda it: _by_block(it, percent), "a long, b long")
+    more = confirm(materialize(pairs.distinct(), "again"), sets, percent)
     if more.limit(1).count():
         comp = components(links.union(more))
-    placed = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
+    placed = member.join(comp.select(F.col("id").alias("rep"), "comp").hint("merge"), "rep", "left")
     return placed.select(F.col("id").alias(key), "n_shingles", F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
