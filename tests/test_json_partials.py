@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.keys import camel_key, checked_double, checked_integer
 from tidewater.operators.json_partials import byte_partials, finish_reason
 
+# Inputs and states that any decoder of this format has to show (FIXTURES.md, section 3).
 # Visible state after each character, then after the end of the document.
 STATES = [
     ('{"v":"Blob"}', "v string", [None] * 5 + ["", "B", "Bl", "Blo", "Blob", "Blob", "Blob", "Blob"]),

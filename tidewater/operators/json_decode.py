@@ -346,6 +346,22 @@ def _syntax_fault(toks: Column, end: Column, finish: bool) -> Column:
     return F.when(end["fault"].isNull() & missing.isNotNull(), _placed(toks, F.size(toks), missing, F.when(last == "o", "string").otherwise("neutral"))).otherwise(fault)
 
 
+def partial_type(kind: T.DataType) -> T.DataType:
+    """The type of partial states of ``kind``: everything may be missing.  Names and kinds in metadata stay."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, partial_type(f.dataType), True, f.metadata) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(partial_type(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, partial_type(kind.valueType), True)
+    return kind
+
+
+def as_partial(value: Column, kind: T.DataType) -> Column:
+    """A full value as a partial state."""
+    return value.cast(partial_type(kind))
+
+
 def decode(text: Column, schema: T.DataType | str, syntax: Syntax = STRICT, keys: Callable[[Column], Column] | None = None, finish: bool = True) -> Column:
     """struct<value, error, nulls>; with ``finish`` the text must end here, else it is a prefix.  ``keys`` converts the names
     in the text before they are compared with the schema's.  For schemas of several levels see ``decoded``."""
@@ -399,16 +415,29 @@ def decoded(df: DataFrame, text: Column, schema: T.DataType | str, out: str = "d
     return df.withColumn(out, F.when(col("toks").isNotNull(), whole)).drop(*made)
 
 
-def checked_partials(docs: DataFrame, key: str, text: str, schema: T.DataType | str, step: int = 1, syntax: Syntax = STRICT, initial: Column | None = None) -> DataFrame:
-    """(key, seq, state, error): the state after every ``step`` characters, and one more for the end of the document.
+def checked_partials(docs: DataFrame, key: str, text: str, schema: T.DataType | str, step: int = 1, syntax: Syntax = STRICT, initial: Column | None = None, unit: str = "character") -> DataFrame:
+    """(key, seq, state, error): the state after every ``step`` characters or bytes (``unit``), and one more for the end of
+    the document; a character shows once its last byte has been read.
 
     After a fault the states stay at the last good one.  Before anything has been read the state is ``initial``.
     """
     n = F.length(text)
-    ends = F.transform(F.sequence(F.lit(1), F.ceil(n / step).cast("int")), lambda i: F.least(i * step, n))
+    if unit == "byte":
+        # how many whole characters the first 1, 2, ... bytes hold
+        chars = F.transform(F.split(text, ""), lambda c, i: F.concat(F.array_repeat(i, F.octet_length(c) - 1), F.array(i + 1)))
+        every = F.flatten(chars)
+        ends = F.filter(every, lambda e, i: ((i + 1) % step == 0) | (i + 1 == F.size(every))) if step > 1 else every
+    else:
+        ends = F.transform(F.sequence(F.lit(1), F.ceil(n / step).cast("int")), lambda i: F.least(i * step, n))
     ends = F.when(n > 0, ends).otherwise(F.array().cast("array<int>"))
     rows = docs.where(F.col(text).isNotNull()).select(key, text, F.posexplode(F.concat(ends, F.array(n + 1))).alias("seq", "end"))
     part = F.col(text).substr(F.lit(1), F.col("end"))
     got = rows.withColumn("got", F.when(F.col("end") <= n, decode(part, schema, syntax, finish=False)).otherwise(decode(F.col(text), schema, syntax)))
     state = F.col("got.value") if initial is None else F.coalesce("got.value", initial)
     return got.select(key, "seq", state.alias("state"), F.col("got.error").alias("error"))
+
+
+def latest(partials: DataFrame, key: str) -> DataFrame:
+    """(key, seq, state, error) of the last state of each document."""
+    last = F.max_by(F.struct("seq", "state", "error"), "seq")
+    return partials.groupBy(key).agg(last.alias("last")).select(key, "last.seq", "last.state", "last.error")

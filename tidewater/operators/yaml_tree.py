@@ -88,7 +88,7 @@ def to_json(text: str, finish: bool = True) -> tuple[str | None, str | None, int
                 raise fault("unexpectedToken")
             wants = True
             rest = content[1:].lstrip(" ")
-            if not _without_comment(rest):
+            if not rest or rest.startswith("#"):
                 return
             content, indent = rest, indent + len(content) - len(rest)
         key = _KEY.match(content)

@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 
 from tidewater.functions.keys import camel_key, checked_double, checked_integer
 from tidewater.operators.chunk_partials import chunk_prefixes, escape_json
-from tidewater.operators.json_decode import Syntax, checked_partials, decode, decoded
+from tidewater.operators.json_decode import Syntax, checked_partials, decode, decoded, latest
 from tidewater.operators.json_partials import byte_partials, decode_prefix, finish_reason
 from tidewater.operators.yaml_blocks import block_mapping, block_sequence, folded_block, literal_block
 from tidewater.operators.yaml_tree import yaml_decoded, yaml_partials
 from tidewater.session import scratch_path, ship, table
+from tidewater.sources.documents import in_chunks
 from tidewater.streaming.chunks import OUTPUT, streaming_prefixes
 
 
@@ -95,20 +96,43 @@ def yaml_block_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.md5(literal_block(F.col("b"))).alias("literal_md5"), F.length(folded_block(F.col("b"))).cast("bigint").alias("n_folded"))
 
 
-def stream_chunk_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """json_chunk_partials over a stream: state per conversation, prefixes decoded as they arrive."""
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as a stream of chunks that has been run to its end; an unclosed quote ends each."""
     ship(spark)
     source = table(spark, sf_dir, "conversations")
     out, progress = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-progress")
     # A glob, because the streaming reader takes a plain path for a folder and the table may be one file.
     chunks = spark.readStream.schema(source.schema).parquet(f"{sf_dir.rstrip('/')}/conversations.parque[t]")
-    rows = streaming_prefixes(chunks.withColumn("chunk", escape_json(F.coalesce("text", F.lit("")))), "conv_id", "turn", "chunk")
+    lasts = source.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    chunks = chunks.join(lasts, "conv_id").withColumn("chunk", escape_json(F.coalesce("text", F.lit("")))).withColumn("ends", F.col("turn") == F.col("last_turn"))
+    rows = streaming_prefixes(chunks, "conv_id", "turn", "chunk", "ends")
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUTPUT).parquet(out)
+
+
+def stream_chunk_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """json_chunk_partials over a stream: state per conversation, prefixes decoded as they arrive."""
     state = decode_prefix(F.concat(F.lit('{"said":"'), "prefix"), "said string")
-    done = spark.read.schema(OUTPUT).parquet(out)
+    done = _streamed(spark, sf_dir).where("kind = 'chunk'")
     return done.select(F.col("stream").alias("conv_id"), F.col("seq").alias("turn"), F.length(state["said"]).cast("bigint").alias("n_chars"), F.md5(state["said"]).alias("said_md5"))
 
 
+def stream_chunk_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state at the end of each stream, checked: every other conversation is closed, the rest lack quote and brace."""
+    done = _streamed(spark, sf_dir).where("kind = 'end'")
+    tail = F.when(F.col("stream") % 2 == 0, '"}').otherwise("")
+    row = done.select("stream", "seq", F.explode(F.array(decode(F.concat(F.lit('{"said":"'), "prefix", tail), "said string"))).alias("d"))
+    return row.select(F.col("stream").alias("conv_id"), F.col("seq").alias("n_chunks"), F.md5("d.value.said").alias("said_md5"), F.col("d.error.reason").alias("reason"))
+
+
+def json_chunk_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation in chunks, checked: the state after each turn, and after a turn with a fault the one before it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") == 0, '{"n": [').otherwise(","), F.when(F.col("turn") == 2, "1 2").otherwise(F.col("turn").cast("string"))).alias("chunk"))
+    rows = chunk_prefixes(turns, "conv_id", "turn", "chunk")
+    got = rows.select("conv_id", "turn", F.explode(F.array(decode(F.col("prefix"), "n array<bigint>", finish=False))).alias("d"))
+    return got.select("conv_id", "turn", F.array_join("d.value.n", ",").alias("n"), F.col("d.error.reason").alias("reason"))
+
+
 #: What json_errors puts in the place of a payload's end, by event_id modulo their number; {n} is the payload's number.
 BROKEN = [
     '{{"k": {n}}}', '{{"k": {n}', '{{"k" {n}}}', '{{"k": {n}, "l":}}', '{{"k": {n},}}', '{{"k": {n}, "l": [1 2]}}', '{{"k": {n}, "l": tru}}', '{{"k": {n},\n"l": -}}',
@@ -197,6 +221,27 @@ def json_checked_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("n_nationkey", F.col("seq").cast("bigint").alias("seq"), F.col("state.name").alias("name"), F.col("state.region").alias("region"), F.col("error.reason").alias("reason"))
 
 
+def json_byte_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every state of a text with characters of several bytes, one byte a step."""
+    text = F.concat(F.lit('{"v":"é'), "n_name", F.lit('😀"}'))
+    got = checked_partials(table(spark, sf_dir, "nation").select("n_nationkey", text.alias("t")), "n_nationkey", "t", "v string", unit="byte")
+    return got.select("n_nationkey", F.col("seq").cast("bigint").alias("seq"), F.col("state.v").alias("v"))
+
+
+def json_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each region's name, by seven characters, and the fault that ended it."""
+    text = F.concat(F.lit('["'), "r_name", F.lit('", "'), "r_name", F.lit('" 1'))
+    rows = table(spark, sf_dir, "region").select("r_regionkey", text.alias("t"))
+    got = latest(checked_partials(rows, "r_regionkey", "t", "array<string>", step=7), "r_regionkey")
+    return got.select("r_regionkey", F.array_join("state", ",").alias("names"), F.col("error.reason").alias("reason"), F.col("error.col").cast("bigint").alias("col"))
+
+
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as the chunks of a stream."""
+    got = in_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 500)
+    return got.select("doc_id", "seq", F.md5("chunk").alias("chunk_md5"), "last")
+
+
 def yaml_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their lines as block sequences of mappings with flow containers and a literal scalar."""
     line = F.concat(
@@ -252,7 +297,7 @@ def yaml_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("conv_id", "turn", F.md5(folded_block(F.col("b"))).alias("folded_md5"), F.md5("d.value.said").alias("read_md5"), F.col("d.value.end").cast("bigint").alias("end"))
 
 
-QUERIES = [yaml_nested, yaml_errors, yaml_states, yaml_folded, json_errors, json_types, json_syntax, json_nulls, json_nested, json_checked_partials, json_partials, json_partials_by_3, json_chunk_partials, json_number_kinds, json_finish_reasons, json_finish_states, snake_case_keys, yaml_mapping, yaml_sequence, yaml_block_scalars, stream_chunk_partials]
+QUERIES = [json_byte_partials, json_latest, text_chunks, json_chunk_states, stream_chunk_finish, yaml_nested, yaml_errors, yaml_states, yaml_folded, json_errors, json_types, json_syntax, json_nulls, json_nested, json_checked_partials, json_partials, json_partials_by_3, json_chunk_partials, json_number_kinds, json_finish_reasons, json_finish_states, snake_case_keys, yaml_mapping, yaml_sequence, yaml_block_scalars, stream_chunk_partials]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -309,6 +354,19 @@ SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, {case(1, repr)
 def oracle_sql() -> dict[str, str]:
     k = "CAST(json_extract(props, '$.k') AS BIGINT)"
     return {
+        "json_byte_partials": """
+SELECT n_nationkey, CAST(i AS BIGINT) AS seq, CASE WHEN i < 5 THEN NULL WHEN i < 7 THEN '' WHEN i < 11 + length(n_name) THEN 'é' || substr(n_name, 1, CAST(i - 7 AS INTEGER)) ELSE 'é' || n_name || '😀' END AS v
+FROM (SELECT n_nationkey, n_name, unnest(range(length(n_name) + 15)) AS i FROM nation)""",
+        "json_latest": "SELECT r_regionkey, r_name || ',' || r_name AS names, 'missingComma' AS reason, CAST(2 * length(r_name) + 9 AS BIGINT) AS col FROM region",
+        "text_chunks": """
+SELECT doc_id, CAST(i AS BIGINT) AS seq, md5(substr(t, CAST(i * 500 + 1 AS BIGINT), 500)) AS chunk_md5, i = n - 1 AS last
+FROM (SELECT doc_id, t, n, unnest(range(n)) AS i FROM (SELECT doc_id, coalesce(text, '') AS t, greatest(1, CAST(ceil(length(coalesce(text, '')) / 500.0) AS BIGINT)) AS n FROM documents))""",
+        "json_chunk_states": """
+SELECT conv_id, turn, CASE WHEN turn = 0 THEN '0' WHEN turn = 1 THEN '0,1' ELSE '0,1,1' END AS n, CASE WHEN turn >= 2 THEN 'missingComma' END AS reason
+FROM conversations""",
+        "stream_chunk_finish": """
+SELECT conv_id, COUNT(*) AS n_chunks, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS said_md5, CASE WHEN conv_id % 2 = 1 THEN 'unterminatedString' END AS reason
+FROM conversations GROUP BY conv_id""",
         "yaml_nested": """
 SELECT l_orderkey AS id, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS numbers, CAST(SUM(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS qty,
   CAST(SUM(CASE WHEN l_linestatus = 'O' OR l_returnflag = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS n_open,
