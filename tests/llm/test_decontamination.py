@@ -61,3 +61,15 @@ def test_repeated_and_null_ids_are_judged_by_row(spark, monkeypatch):
         monkeypatch.setattr(D, "BLOCK_BYTES", size)
         got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.contamination(frame, bench).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_documents_longer_than_a_shard(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "SHARD_SYMBOLS", 16)
+    item = " ".join(f"w{i}" for i in range(20))
+    texts = [f"{'x ' * n}{item} y {item}" for n in range(40)] + ["", None, "w1 w2"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "body"])
+    (got,) = D._scan(iter([batch]), D.Windows([(5, item)]))
+    assert got["spans"].to_pylist() == [[[n, n + 20], [n + 21, n + 41]] for n in range(40)] + [[], [], []]
+    assert got["items"].to_pylist() == [[5]] * 40 + [[], [], []]

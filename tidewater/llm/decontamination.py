@@ -4,8 +4,8 @@ A task cuts its documents into shards, and each shard's word sequence gets an FM
 transform in a wavelet matrix for ranks, and every eighth suffix position.  All benchmark windows of one length are
 searched backwards at once; occurrences are located by walking to a sampled position and their spans are merged.
 
-Only stretches of a document whose neighbouring words are also neighbours in some benchmark item can hold an occurrence, so
-only these are indexed, with separators between them; nothing that could match is left out.
+Every word of a document that some benchmark item holds is indexed; runs of other words become one separator.  A document
+longer than a shard is cut into pieces that overlap by a window less a word.
 
 Defined results: null, empty or wordless text has no words, no hits and is not contaminated; an item without words has no
 window; an item shorter than a window is one window; repeated items of one id count once; items of null id are searched too
@@ -137,49 +137,33 @@ class Windows:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.ids: dict[bytes, int] = {}
         held: dict[int, dict[tuple[int, ...], set[int | None]]] = {}
-        pairs, singles = set(), set()
         for item, text in items:
             seq = [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]
             if not seq:
                 continue
             width = min(WINDOW, len(seq))
-            if width == 1:
-                singles.add(seq[0])
-            pairs.update(zip(seq, seq[1:], strict=False))
             group = held.setdefault(width, {})
             for i in range(len(seq) - width + 1):
                 group.setdefault(tuple(seq[i : i + width]), set()).add(item)
-        self.shortest = min(held, default=0)
         self.vocabulary = len(self.ids)
-        self.pairs = np.array(sorted(a * self.vocabulary + b for a, b in pairs), np.int64)
-        self.singles = np.array(sorted(singles), np.int64)
         self.phrases = [(w, np.array(list(g), np.int64).reshape(-1, w), list(g.values())) for w, g in sorted(held.items())]
 
-    def stretches(self, words: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """The words' numbers, and the ranges of words that could hold a window."""
-        seq = np.fromiter((self.ids.get(w, -1) for w in words), np.int64, len(words))
-        if not len(seq) or not self.shortest:
-            return seq, []
-        linked = np.zeros(len(seq) + 1, bool)  # word i continues the stretch of word i - 1
-        if len(seq) > 1 and len(self.pairs):
-            code = seq[:-1] * self.vocabulary + seq[1:]
-            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            linked[1:-1] = (self.pairs[at] == code) & (seq[:-1] >= 0) & (seq[1:] >= 0)
-        edges = np.flatnonzero(~linked)
-        start, size = edges[:-1], np.diff(edges)
-        good = (size >= max(2, self.shortest)) | np.isin(seq[start], self.singles) & (size >= self.shortest) if len(self.singles) else size >= self.shortest
-        return seq, [(int(s), int(s + n)) for s, n in zip(start[good], size[good], strict=True)]
-
-
-def _search(shard: list[tuple[int, np.ndarray, list[tuple[int, int]]]], windows: Windows) -> dict[int, tuple[list[tuple[int, int]], set[int | None]]]:
-    """For each document of the shard with occurrences: its spans, and the items."""
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Each word's number, -1 for words of no item."""
+        get = self.ids.get
+        return np.array([get(w, -1) for w in words], np.int64)
+
+
+def _search(shard: list[tuple[int, int, np.ndarray]], windows: Windows) -> dict[int, tuple[list[tuple[int, int]], set[int | None]]]:
+    """For each document of the shard's pieces (document, first word, numbers) with occurrences: its spans, and the items."""
     parts, docs, origin = [], [], []
-    for place, seq, ranges in shard:
-        for s, e in ranges:
-            parts += [seq[s:e] + 2, np.ones(1, np.int64)]
-            docs.append(np.full(e - s + 1, place, np.int64))
-            origin.append(np.arange(s, e + 1))
-    if not parts:
+    for place, first, seq in shard:
+        known = seq >= 0
+        kept = np.flatnonzero(known | np.concatenate(([False], known[:-1])))
+        parts += [np.where(known[kept], seq[kept] + 2, 1), np.ones(1, np.int64)]
+        docs.append(np.full(len(kept) + 1, place, np.int64))
+        origin.append(np.append(kept + first, first + len(seq)))
+    if not windows.phrases or not any(len(p) > 1 for p in parts):
         return {}
     parts.append(np.zeros(1, np.int64))
     text, doc, at = np.concatenate(parts), np.concatenate(docs), np.concatenate(origin)
@@ -210,24 +194,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scan(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, spans, items = [], [[] for _ in range(len(b))], [[] for _ in range(len(b))]
+        n, spans, items = [], [[] for _ in range(len(b))], [set() for _ in range(len(b))]
         shard, held = [], 0
 
         def flush(shard, spans=spans, items=items):
             for place, (s, names) in _search(shard, windows).items():
-                spans[place], items[place] = [list(x) for x in merged(s)], sorted(names, key=lambda x: (x is None, x or 0))
+                spans[place] += s
+                items[place] |= names
 
         for place, t in enumerate(b.column(b.num_columns - 1)):
-            words = words_of(t.as_py())
-            n.append(len(words))
-            seq, ranges = windows.stretches(words)
-            if ranges:
-                shard.append((place, seq, ranges))
-                held += sum(e - s + 1 for s, e in ranges)
+            seq = windows.numbers(words_of(t.as_py()))
+            n.append(len(seq))
+            for first in range(0, len(seq), SHARD_SYMBOLS):
+                piece = seq[first : first + SHARD_SYMBOLS + WINDOW - 1]
+                shard.append((place, first, piece))
+                held += len(piece)
                 if held >= SHARD_SYMBOLS:
                     flush(shard)
                     shard, held = [], 0
         flush(shard)
+        spans = [[list(x) for x in merged(s)] for s in spans]
+        items = [sorted(names, key=lambda x: (x is None, x or 0)) for names in items]
         out = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(out, [*b.schema.names[:-1], "n_words", "spans", "items"])
 
