@@ -29,7 +29,11 @@ def block_mapping(text: Column) -> Column:
     entries = F.filter(entries, lambda e: e["k"] != "")
 
     def last_of_each(es: Column) -> Column:
-        return F.map_from_entries(F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["k"] == e["k"])))
+        # sorted by key and place, the last of equal keys is the one before another key
+        ranked = F.array_sort(F.transform(es, lambda e, i: F.struct(e["k"].alias("k"), i.alias("at"), e["v"].alias("v"))))
+        kept = F.transform(F.array(ranked), lambda r: F.filter(r, lambda e, i: ~F.coalesce(F.get(r, i + 1)["k"] == e["k"], F.lit(False))))[0]
+        ordered = F.array_sort(F.transform(kept, lambda e: F.struct(e["at"].alias("at"), e["k"].alias("k"), e["v"].alias("v"))))
+        return F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["k"], e["v"])))
 
     # Bound as a lambda's argument, the entries are parsed once however often they are named.
     return F.transform(F.array(entries), last_of_each)[0]
