@@ -136,7 +136,7 @@ def json_chunk_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: What json_errors puts in the place of a payload's end, by event_id modulo their number; {n} is the payload's number.
 BROKEN = [
     '{{"k": {n}}}', '{{"k": {n}', '{{"k" {n}}}', '{{"k": {n}, "l":}}', '{{"k": {n},}}', '{{"k": {n}, "l": [1 2]}}', '{{"k": {n}, "l": tru}}', '{{"k": {n},\n"l": -}}',
-    '{{"k": {n}, "l": 0{n}}}', '{{"k": {n}, "l": 1e}}', '{{"k": "{n}"}}', '{{"k": {n}00000000000000000000}}', '{{"k": {n}, "l": "\\u12"}}', '{{"k": {n}, "l": "abc', '{{"k": {n}]',
+    '{{"k": {n}, "l": 0{n}}}', '{{"k": {n}, "l": 1e}}', '{{"k": "{n}"}}', '{{"k": 1{n}00000000000000000000}}', '{{"k": {n}, "l": "\\u12"}}', '{{"k": {n}, "l": "abc', '{{"k": {n}]',
     '{{"k": {n}, "l": [1,2', '{{"k": {n}, "l": [1,2,x]}}', '{{"k": {n}}} {n}',
 ]
 
