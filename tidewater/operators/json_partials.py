@@ -10,6 +10,8 @@ nulls.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,9 @@ def complete(prefix: Column) -> Column:
 
 
 def decode_prefix(prefix: Column, schema: str) -> Column:
+    """Unchecked and quick.  from_json lets numbers of 8 and 16 bits wrap, so json_decode has to read those."""
+    if re.search(r"(?i)\b(?:tinyint|byte|smallint|short)\b", schema):
+        raise ValueError(f"numbers of 8 and 16 bits need json_decode.decode: {schema}")
     return F.from_json(complete(prefix), schema, STRICT)
 
 

@@ -22,7 +22,8 @@ def ship(spark: SparkSession) -> None:
     Workers on other machines then import it from Spark's own file distribution instead of relying on an installed copy.
     """
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(size).rstrip("b")) > BATCH_BYTES:
+    now = spark.conf.get(size).rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:  # a setting with a unit is the user's own
         spark.conf.set(size, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
