@@ -42,3 +42,23 @@ def test_repeated_and_null_ids(spark, tmp_path):
     spark.createDataFrame([(1, hit)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
     assert sorted(map(tuple, clean.collect()), key=str) == sorted((r for r in rows if r[1] != hit), key=str)
+
+
+def test_stages_keep_clashing_columns_nulls_and_long_texts(spark):
+    rows = [(1, None), (2, ""), (3, "plain words about gardens and rivers " * 3_000), (4, "token=abcdefgh1234 here"), (4, "token=abcdefgh1234 here")]
+    docs = spark.createDataFrame([(*r, "s", 7, "f", 1.5, "r") for r in rows], "doc_id long, text string, score string, base int, found string, predicted double, spans string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, D)
+        got = out.collect()
+        assert out.columns == docs.columns, name
+        assert {(r.score, r.base, r.found, r.predicted, r.spans) for r in got} <= {("s", 7, "f", 1.5, "r")}, name
+        texts = sorted((r.doc_id, r.text or "") for r in got)
+        if name == "near_dedup":
+            assert [d for d, _ in texts] == [1, 2, 3, 4]
+        elif name == "secrets":
+            assert [t for d, t in texts if d == 4] == ["[secret] here"] * 2 and {r.text for r in got if r.doc_id < 3} == {None, ""}
+        elif name == "decontamination":
+            assert texts == sorted((d, t or "") for d, t in rows)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, D).collect()
+    assert sorted(r.doc_id for r in last) == [1, 2, 3, 4, 4]
+    assert {r.decoded_sha256 for r in last if r.doc_id < 3} == {hashlib.sha256(b"").hexdigest()}

@@ -54,3 +54,17 @@ def test_walk_places_every_rank_once(counts, shards):
     for _, lo, hi, s, _ in out:
         sizes[s] += hi - lo
     assert max(sizes[s] for s in range(shards)) - min(sizes[s] for s in range(shards)) <= 1
+
+
+def test_query(spark):
+    from tidewater.llm.queries import op2_bounded_ring
+    from tidewater.session import table
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in table(spark, d, "documents").collect()}
+    got = op2_bounded_ring(spark, d).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in docs.items()}
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)} and len(got) == len(docs)
+    by = Counter(r.shard for r in got)
+    assert set(by) == set(range(24)) and max(by.values()) - min(by.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in by.items())

@@ -1,5 +1,6 @@
 import zlib
 
+from tidewater.llm import toxicity
 from tidewater.llm.queries import op8_toxicity
 from tidewater.llm.toxicity import score_toxicity
 from tidewater.session import table
@@ -22,3 +23,14 @@ def test_edges(spark):
     none = score_toxicity(docs, labels.limit(0)).collect()
     assert all(r.score < 1e-6 and r.predicted == 0 for r in none)
     assert score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_a_text_over_the_bound_is_passed_over_and_labels_may_disagree(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_CHARS", 20_000)
+    docs = [(i, ("vile filthy insult " if i % 2 else "kind gentle praise ") * 3 + f"n{i}") for i in range(120)] + [(500 + i, "x" * 30_000) for i in range(8)]
+    marks = [(i, i % 2) for i in range(120)] + [(500 + i, 0) for i in range(8)] + [(7, 0), (7, 1)]
+    frame = spark.createDataFrame([(*d, None) for d in docs], "doc_id long, text string, predicted string")
+    rows = {r.doc_id: r for r in score_toxicity(frame, spark.createDataFrame(marks, "doc_id long, toxic int"), prefix="my_").collect()}
+    assert len(rows) == 128 and all(r.predicted is None for r in rows.values())
+    held = [r for i, r in rows.items() if i < 120 and r.my_held_out]
+    assert held and all(r.my_predicted == r.doc_id % 2 for r in held)

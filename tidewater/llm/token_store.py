@@ -5,7 +5,7 @@ Layout under the store's folder (any filesystem that Arrow opens by URI; all exe
     data/shard-<p>-<attempt>.bin   16-byte header, then the ids of all its documents as little-endian integers
     data/shard-<p>-<attempt>.idx   per document: key (int64), null flag (uint8), first id's position (uint64) + the end
     runs/                          Parquet: one row per shard and key - which documents of that shard have the key
-    index/                         Parquet: per hash bucket the perfect hash, fingerprints and (shard, ordinal, count)
+    index/                         Parquet: per hash bucket (of the number that each row repeats) the perfect hash, fingerprints and (shard, ordinal, count)
 
 Shards hold documents in ascending key order (nulls first), so shard number and ordinal give the global order.  A task
 writes files under its own attempt's name and only reports them in ``runs`` when it succeeds: a retry or a lost executor
@@ -232,7 +232,7 @@ def _build_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     where = np.empty(len(keys), [("shard", "<i4"), ("ordinal", "<i8"), ("n_docs", "<i8")])
     for c in where.dtype.names:
         where[c] = pdf[c].to_numpy()
-    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "n_keys": [len(first)], "mph": [mph.dump()], "spans": [spans.tobytes()], "entries": [where.tobytes()]})
+    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "n_keys": [len(first)], "buckets": [int(pdf["buckets"].iloc[0])], "mph": [mph.dump()], "spans": [spans.tobytes()], "entries": [where.tobytes()]})
 
 
 def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", n_shards: int | None = None) -> TokenStore:
@@ -246,10 +246,10 @@ def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, key
     keyed = runs.where("key is not null")
     buckets = max(1, -(-keyed.count() // BUCKET_KEYS))
     (
-        keyed.withColumn("bucket", _bucket(buckets))
-        .select("bucket", "key", "shard", "ordinal", "n_docs")
+        keyed.withColumn("bucket", _bucket(buckets)).withColumn("buckets", F.lit(buckets))
+        .select("bucket", "buckets", "key", "shard", "ordinal", "n_docs")
         .groupBy("bucket")
-        .applyInPandas(_build_bucket, "bucket int, n_keys long, mph binary, spans binary, entries binary")
+        .applyInPandas(_build_bucket, "bucket int, n_keys long, buckets int, mph binary, spans binary, entries binary")
         .write.parquet(f"{out}/index")
     )
     return TokenStore(spark, out)
@@ -326,8 +326,8 @@ class TokenStore:
     def lookup(self, keys: DataFrame, key: str = "doc_id") -> DataFrame:
         """(key, shard, ordinal, n_docs) of each distinct non-null key that the store holds, through the perfect hash."""
         index = self.spark.read.parquet(f"{self.path}/index")
-        n = max(1, index.count())
-        n = max([n, *(r["bucket"] + 1 for r in index.select("bucket").collect())])
+        row = index.select("buckets").first()
+        n = row["buckets"] if row else 1
         asked = keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct().withColumn("bucket", _bucket(n))
         return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_probe, "key long, shard int, ordinal long, n_docs long")
 
