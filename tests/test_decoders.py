@@ -111,3 +111,18 @@ def test_streams_report_gaps_and_the_end():
     assert step((0, "a", False), (3, "d", True)) == [(0, "chunk", "a"), (1, "chunk", "ab"), (2, "missing", "ab")]
     assert step((2, "c", False), (1, "again", False)) == [(2, "chunk", "abc"), (3, "chunk", "abcd"), (4, "end", "abcd")]
     assert step((3, "d", True)) == []
+
+
+def test_faultless_documents_are_decoded_alike_on_both_ways(spark, monkeypatch):
+    from tidewater.operators import json_decode as J
+
+    schema = T._parse_datatype_string("id bigint, user_name string, tags array<struct<n:int,at:map<string,double>>>, on boolean, o struct<p:string,q:bigint>")
+    good = ['{"id": 7, "tags": [ {"n":1,"at":{"x":1.5e3,"x":2}} ,{"at":{}}],"on":true}', '{"user_name":"a, \\"n0:null\\": 5\\n","on":null}', '{"o":{"p":"x"},"o":{ "q" : 2 }}', "{ }", '{"o":{},"o":{"p":"y: 3"},"extra":[[], -0.5]}']
+    refused = ['{"id": 1.5}', '{"id": 7', '{"id": 07}', '{"tags": [1,]}', '{"tags": [{"n": 3000000000}]}', '{"on": tru}', '{"id": "7"}', "5", '{"\\u0069d": 3}', "[" * 9 + "]" * 9]
+    df = spark.createDataFrame([(t,) for t in good + refused], "t string").coalesce(1)
+    quick = [r.q for r in df.select(J._quick_tree(F.col("t"), schema, J.STRICT, None)["z"].alias("q")).collect()]
+    assert [q is not None for q in quick] == [True] * len(good) + [False] * len(refused)
+    both = [J.decoded(df, F.col("t"), schema, "d", keys=camel_key).select("d").collect()]
+    monkeypatch.setattr(J, "_quick_tree", lambda text, kind, s, keys: F.when(F.lit(False), J._tree(text, kind)))
+    both.append(J.decoded(df, F.col("t"), schema, "d", keys=camel_key).select("d").collect())
+    assert both[0] == both[1]

@@ -21,17 +21,23 @@ def camel_key(key: Column) -> Column:
     lead = F.regexp_extract(key, "^_*", 0)
     core = F.regexp_replace(key, "^_+|_+$", "")
     tail = F.when(core == "", F.lit("")).otherwise(F.regexp_extract(key, "_*$", 0))
-    parts = F.filter(F.split(core, "_"), lambda p: p != "")
-    joined = F.concat(F.lower(F.element_at(parts, 1)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), capitalize), ""))
-    return F.when(F.size(parts) <= 1, key).otherwise(F.concat(lead, joined, tail))
+
+    def joined(parts: Column) -> Column:
+        words = F.concat(F.lower(F.element_at(parts, 1)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), capitalize), ""))
+        return F.when(F.size(parts) <= 1, key).otherwise(F.concat(lead, words, tail))
+
+    # as the only element of an array the parts are made once, however often they are named
+    parts = F.array(F.filter(F.split(core, "_"), lambda p: p != ""))
+    return F.when(F.instr(key, "_") == 0, key).otherwise(F.get(F.transform(parts, joined), F.lit(0)))
 
 
 def checked_integer(token: Column, kind: str) -> tuple[Column, Column]:
     """(value, reason): numericOverflow where the token is a number outside the kind, or with a fraction or an exponent."""
     low, high = INTEGER_RANGES[kind]
-    number = token.try_cast("decimal(38,0)")
+    wide = "decimal(38,0)" if kind == "uint64" else "bigint"  # quicker, and what doesn't fit it is out of range
+    number = token.try_cast(wide)
     whole = token.rlike("^-?[0-9]+$")
-    fits = whole & number.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
+    fits = whole & number.between(F.lit(str(low)).cast(wide), F.lit(str(high)).cast(wide))
     target = "decimal(20,0)" if kind == "uint64" else "bigint"
     reason = F.when(token.isNull() | F.coalesce(fits, F.lit(False)), None).when(token.rlike("^-?[0-9]"), "numericOverflow").otherwise("invalidType")
     return F.when(fits, number.cast(target)), reason

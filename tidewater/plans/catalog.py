@@ -14,7 +14,7 @@ from tidewater.operators.json_decode import Syntax, checked_partials, decode, de
 from tidewater.operators.json_partials import byte_partials, decode_prefix, finish_reason
 from tidewater.operators.yaml_blocks import block_mapping, block_sequence, folded_block, literal_block
 from tidewater.operators.yaml_tree import yaml_decoded, yaml_partials
-from tidewater.session import scratch_path, ship, table
+from tidewater.session import scratch_path, ship, spread, table
 from tidewater.sources.documents import in_chunks
 from tidewater.streaming.chunks import OUTPUT, streaming_prefixes
 
@@ -197,7 +197,7 @@ def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their lines as arrays of objects, and a map of amounts by status."""
     line = F.struct(F.col("l_linenumber").alias("line_number"), F.struct(F.col("l_quantity").cast("int").alias("value")).alias("qty"), F.create_map("l_linestatus", F.col("l_quantity").cast("int")).alias("byStatus"))
     text = F.to_json(F.struct(F.col("l_orderkey").alias("id"), F.collect_list(line).alias("lines")))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(text.alias("t"))
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(text.alias("t"))
     item = T.StructType([
         T.StructField("number", T.IntegerType(), metadata={"keys": ["no", "lineNumber"]}), T.StructField("qty", T.StructType([T.StructField("value", T.LongType())])),
         T.StructField("byStatus", T.MapType(T.StringType(), T.LongType())), T.StructField("note", T.StringType(), metadata={"ignored": True}),

@@ -67,3 +67,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over every core, for work that is heavy for its bytes: a small file is one task otherwise, and
+    adaptive execution joins partitions by bytes, but not those of a number that was asked for."""
+    n = max(shuffle_width(df.sparkSession), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
