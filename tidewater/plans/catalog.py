@@ -154,7 +154,7 @@ def _broken(n):
 def json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads broken in each way that has a reason: the reason, its place, and the number read before it."""
     text = _broken(F.get_json_object("props", "$.k"))
-    got = table(spark, sf_dir, "events").select("event_id", F.explode(F.array(decode(text, "k bigint, l array<bigint>"))).alias("d"))
+    got = spread(table(spark, sf_dir, "events"), "event_id").select("event_id", F.explode(F.array(decode(text, "k bigint, l array<bigint>"))).alias("d"))
     place = [F.col("d.error")[c].cast(t).alias(c) for c, t in (("reason", "string"), ("line", "bigint"), ("col", "bigint"))]
     return got.select("event_id", F.col("d.value.k").alias("k"), F.size("d.value.l").cast("bigint").alias("n_l"), *place)
 
@@ -179,7 +179,7 @@ def json_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("/* an order */ {key: 0x"), F.hex("o_orderkey"), F.lit(", // its customer\n 'cust': +00"), F.col("o_custkey"), F.lit(", half: .5, none: NaN, \"status\": 'it\\'s \"'"), F.lit(", list: [1,2,],}"),
     )
     got = decode(text, "key bigint, cust bigint, half double, none double, status string, list array<int>", every)
-    row = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(got)).alias("d"))
+    row = spread(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", F.explode(F.array(got)).alias("d"))
     v = F.col("d.value")
     return row.select("o_orderkey", v["key"].alias("key"), v["cust"].alias("cust"), v["half"].alias("half"), F.isnan(v["none"]).alias("is_nan"), v["status"].alias("status"), F.size(v["list"]).cast("bigint").alias("n"), F.col("d.error.reason").alias("reason"))
 
@@ -188,7 +188,7 @@ def json_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members that are there, null, or missing, with an initial value for what is missing."""
     n = F.get_json_object("props", "$.k")
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k": '), n, F.lit("}"))).when(F.col("event_id") % 3 == 1, '{"k": null}').otherwise("{}")
-    row = table(spark, sf_dir, "events").select("event_id", F.explode(F.array(decode(text, "k bigint"))).alias("d"))
+    row = spread(table(spark, sf_dir, "events"), "event_id").select("event_id", F.explode(F.array(decode(text, "k bigint"))).alias("d"))
     was_null = F.array_contains("d.nulls", "k")
     return row.select("event_id", F.when(~was_null, F.coalesce(F.col("d.value.k"), F.lit(0))).alias("k"), was_null.alias("was_null"))
 
