@@ -76,14 +76,14 @@ def yaml_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = [F.concat(F.lit(f"{n}: "), F.when(F.lit(n == "o_orderpriority"), F.concat(F.lit(chr(34)), n, F.lit(chr(34)))).otherwise(F.col(n).cast("string"))) for n in names]
     text = F.concat_ws("\n", F.lit("# order"), *lines)
     # Through a generator the map is built once, not once for each member taken from it.
-    row = table(spark, sf_dir, "orders").select(F.explode(F.array(block_mapping(text))).alias("m"))
+    row = spread(table(spark, sf_dir, "orders"), "o_orderkey").select(F.explode(F.array(block_mapping(text))).alias("m"))
     return row.select(*[F.col("m")[n].cast("bigint" if n.endswith("key") else "string").alias(n) for n in names])
 
 
 def yaml_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers of each order written as a block sequence and read back."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list("l_linenumber")), lambda n: F.concat(F.lit("- "), n.cast("string"))), "\n")
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(text.alias("y"))
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(text.alias("y"))
     back = F.transform(block_sequence(F.col("y")), lambda v: v.cast("bigint"))
     return rows.select("l_orderkey", F.size(back).cast("bigint").alias("n"), F.aggregate(back, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"))
 
@@ -249,7 +249,7 @@ def yaml_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag", F.lit(", "), "l_linestatus", F.lit("]\n    note: |\n      first "), "l_linestatus", F.lit("\n\n      last\n"),
     )
     text = F.concat(F.lit("id: "), F.col("l_orderkey"), F.lit("\nlines:\n"), F.array_join(F.collect_list(line), ""), F.lit("done: true\nlimits:\n- 1\n-\n  2\n"))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(text.alias("t"))
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(text.alias("t"))
     schema = "id bigint, lines array<struct<number:int,qty:struct<value:bigint,unit:string>,flags:array<string>,note:string>>, done boolean, limits array<int>"
     got = yaml_decoded(rows, F.col("t"), schema, "d")
     x = F.col("d.value.lines")
@@ -276,7 +276,7 @@ def yaml_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (form, *_) in enumerate(BROKEN_YAML):
         head, tail = form.split("{n}")
         text = text.when(F.col("event_id") % len(BROKEN_YAML) == i, F.concat(F.lit(head), n, F.lit(tail)))
-    got = yaml_decoded(table(spark, sf_dir, "events").withColumn("t", text), F.col("t"), "k bigint, l array<int>, m string", "d")
+    got = yaml_decoded(spread(table(spark, sf_dir, "events"), "event_id").withColumn("t", text), F.col("t"), "k bigint, l array<int>, m string", "d")
     place = [F.col("d.error")[c].cast(t).alias(c) for c, t in (("reason", "string"), ("line", "bigint"), ("col", "bigint"))]
     return got.select("event_id", F.col("d.value.k").alias("k"), *place)
 
