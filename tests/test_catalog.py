@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.plans import catalog
 
@@ -33,3 +34,9 @@ def test_finish_states_reach_the_whole_of_nested_payloads(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert got == {(a, b): c for a, b, c in con.execute(catalog.oracle_sql()["json_finish_states"]).fetchall()}
     assert len(got) == len(nested) + 1 + 9 and got[1, len(nested)] is None and got[1, len(nested) - 2] == "missingClosingBracket"
+
+
+@pytest.mark.parametrize("name", ["json_nested", "json_syntax", "yaml_nested", "json_types", "json_partials"])
+def test_heavy_queries_use_every_core_for_a_small_file(spark, name):
+    got = catalog.queries()[name](spark, SF)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism

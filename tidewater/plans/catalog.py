@@ -26,12 +26,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every state of every payload, one character a step."""
-    states = byte_partials(table(spark, sf_dir, "events"), "event_id", "props", "k bigint")
+    states = byte_partials(spread(table(spark, sf_dir, "events"), "event_id"), "event_id", "props", "k bigint")
     return states.select("event_id", F.col("seq").cast("bigint").alias("seq"), F.col("state.k").alias("k"))
 
 
 def json_partials_by_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = byte_partials(table(spark, sf_dir, "events"), "event_id", "props", "k bigint", step=3)
+    states = byte_partials(spread(table(spark, sf_dir, "events"), "event_id"), "event_id", "props", "k bigint", step=3)
     return states.select("event_id", F.col("seq").cast("bigint").alias("seq"), F.col("state.k").alias("k"))
 
 
@@ -60,7 +60,7 @@ def json_finish_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_finish_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the end of every prefix of every payload lacks, from the empty one to the whole payload."""
-    rows = table(spark, sf_dir, "events").where("props is not null").select("event_id", "props", F.explode(F.sequence(F.lit(0), F.length("props"))).alias("n"))
+    rows = spread(table(spark, sf_dir, "events"), "event_id").where("props is not null").select("event_id", "props", F.explode(F.sequence(F.lit(0), F.length("props"))).alias("n"))
     reason = finish_reason(F.col("props").substr(F.lit(1), F.col("n")))
     return rows.select("event_id", F.col("n").cast("bigint").alias("n_read"), reason.alias("reason"))
 
