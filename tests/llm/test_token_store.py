@@ -59,3 +59,15 @@ def test_every_character_splits_like_the_library():
     texts = [f"ab{chr(c)}cd {chr(c)} x" for c in [*range(0x3100), 0xFEFF, 0x1F600]]
     for text, ids, want in zip(texts, own.encode(texts), plain(texts), strict=True):
         assert np.frombuffer(ids, own.dtype).astype("<u4").tolist() == want.tolist(), repr(text)
+
+
+def test_words_share_the_ids_of_their_parts():
+    from tidewater.llm.token_store import WordMemoEncoder
+
+    own = WordMemoEncoder(vocabulary("word_bpe_49k.json"), 1)
+    text = "Word, word. WORD!"
+    assert b"".join(own.encode([text])) == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids + [1], own.dtype).tobytes()
+    assert set(own.parts) == {"", "word", ",", ".", "!"}
+    odd = "It's, x<|endoftext|>, a—, é, é, ABC İx, 's, don't' 12.5% ... a≠, ΟΔΟΣ, q̀!! 中, A.B.C. <B>, ß$$$ x², xⅠ. ǅ, </w>, a</w>"
+    for t in [odd, *odd.split()]:
+        assert next(own.encode([t])) == np.array(own.tokenizer.encode(t, add_special_tokens=False).ids + [1], own.dtype).tobytes(), t

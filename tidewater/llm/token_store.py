@@ -21,7 +21,9 @@ documents; an empty table gives a store without shards; extra columns are ignore
 
 from __future__ import annotations
 
+import json
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,8 +43,10 @@ HEADER = struct.Struct("<4sHHQ")
 GAMMA = 2.0
 #: Keys per index bucket; the number of buckets grows with the keys, so that one bucket always fits in a task.
 BUCKET_KEYS = 1 << 16
-#: Words whose ids a worker remembers in each of two generations (about 150 bytes each).
+#: Words and parts of words whose ids a worker remembers in each of two generations (about 150 bytes each).
 MEMO_WORDS = 400_000
+#: A pre-tokenizer under which a word's last letter or digit and the punctuation after it are never in one piece.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that str.split takes for white space and the tokenizers library doesn't.
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -66,11 +70,27 @@ class WordMemoEncoder:
         self.end = np.array([end_id], self.dtype).tobytes()
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        # ids of the parts that several words share: in lower case, and without the punctuation at the end
+        self.parts: dict[str, bytes] = {"": b""}
+        self.older_parts: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        steps = (made.get("normalizer") or {}).get("normalizers") or []
+        first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        known = {n["type"] for n in steps} <= {"NFC", "Replace", "Lowercase"} and all(n["pattern"] == {"Regex": "\\s+"} for n in steps if n["type"] == "Replace")
+        self.splits = known and first.get("pattern") == {"Regex": _PIECES} and first.get("behavior") == "Removed" and bool(first.get("invert"))
+        self.lowers = any(n["type"] == "Lowercase" for n in steps)
+        suffix = made["model"].get("end_of_word_suffix")
+        self.lasts = None
+        if self.splits and suffix:
+            self.lasts = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.lasts[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        #: words with these may hold an added token
+        self.marks = "".join({t["content"][0] for t in made["added_tokens"]})
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             words = [w for w in _WHITE.split(text) if w] if _NOT_WHITE.search(text) else text.split()
-            new = {w for w in words if w not in self.memo}
+            new = set(words).difference(self.memo)
             if len(self.memo) + len(new) > MEMO_WORDS:
                 self.memo, self.older = {}, self.memo
                 new = set(words)
@@ -79,16 +99,45 @@ class WordMemoEncoder:
                 self.memo.update((w, self.older[w]) for w in known)
                 new -= known
             if new:
-                new = list(new)
-                e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-                ids = np.array(e.ids, self.dtype)
-                ends = np.bincount(np.array(e.word_ids, np.int64), minlength=len(new)).cumsum().tolist() if len(ids) else [0] * len(new)
-                lo = 0
-                for w, hi in zip(new, ends, strict=True):
-                    self.memo[w] = ids[lo:hi].tobytes()
-                    lo = hi
+                self._learn(list(new), any(m in text for m in self.marks))
             yield b"".join(map(self.memo.__getitem__, words)) + self.end
 
+    def _learn(self, new: list[str], marked: bool) -> None:
+        """Puts the ids of these words into the memo."""
+        cores = new
+        if self.splits:
+            # cut only after a letter or digit that the pre-tokenizer takes for one too
+            cores = [c if (c := w.rstrip(string.punctuation))[-1:].isalnum() and c[-1] < "\u3100" else w for w in new]
+            if self.lowers:
+                cores = [c.lower() if c.isascii() else c for c in cores]
+            if marked:
+                cores = [w if any(m in w for m in self.marks) else c for w, c in zip(new, cores, strict=True)]
+        tails = [w[len(c) :] for w, c in zip(new, cores, strict=True)]
+        asked = {*cores, *tails}
+        if len(self.parts) + len(asked) > MEMO_WORDS:
+            self.parts, self.older_parts = {"": b""}, self.parts
+        parts, fresh = self.parts, asked.difference(self.parts)
+        known = self.older_parts.keys() & fresh
+        parts.update((p, self.older_parts[p]) for p in known)
+        fresh -= known
+        # a part of ASCII letters is one piece, so its last token shows where it ends
+        letters = [p for p in fresh if p.isascii() and p.isalpha()] if self.lasts is not None else []
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([letters], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+            self._keep(letters, ids, np.flatnonzero(self.lasts[ids]) + 1)
+        others = list(fresh.difference(letters))
+        if others:
+            e = self.tokenizer.encode(others, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, self.dtype)
+            self._keep(others, ids, np.bincount(np.array(e.word_ids, np.int64), minlength=len(others)).cumsum() if len(ids) else np.zeros(len(others), np.int64))
+        self.memo.update((w, parts[c] + parts[t]) for w, c, t in zip(new, cores, tails, strict=True))
+
+    def _keep(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, lo = ids.tobytes(), 0
+        for p, hi in zip(parts, (ends * self.width).tolist(), strict=True):
+            self.parts[p] = raw[lo:hi]
+            lo = hi
+
 
 _encoders: dict[tuple[str, int], WordMemoEncoder] = {}
 
