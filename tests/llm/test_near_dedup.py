@@ -1,12 +1,14 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.brute import near
+from tidewater.llm import near_dedup
 from tidewater.llm.near_dedup import Signer, allowed, banding, looked_up, near_duplicates
 from tidewater.llm.queries import op5_near_dedup
-from tidewater.session import table
+from tidewater.session import materialize, table
 
 KIND = "doc_id long, text string, comp string, id string, bucket int"
 
@@ -98,3 +100,30 @@ def test_frequent_keys_are_looked_up_whole(spark):
     for total in (100, 100_000):
         got = looked_up(rows, table, "k", "n", total)
         assert got.count() == 100 and got.where("k <> v").count() == 0
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_links_that_no_star_finds_are_no_row_each(spark, monkeypatch, small):
+    """The smallest ids are near all others and linked with none, so that every star misses; the others are all linked."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9999)}" for _ in range(150)]
+    docs = []
+    for i in range(220):
+        w = list(base)
+        for k in rng.sample(range(5, 145), 3 if i < 20 else 1):
+            w[k] = f"x{i}y{k}"
+        docs.append((i, " ".join(w)))
+    made = {}
+
+    def counted(df, label):
+        out = materialize(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    if small:
+        monkeypatch.setattr(near_dedup, "BLOCK", 30)
+        monkeypatch.setattr(near_dedup, "SET_BYTES", 40_000)
+    check(spark, docs)
+    assert made["again"] > 200
+    assert max(made.values()) <= banding(85)[1] * len(docs), made

@@ -9,7 +9,9 @@ are dropped, the others are confirmed on the full sets.
 Which pairs of a bucket are compared: in each of ROUNDS rounds every member that is still apart from the bucket's pivots so
 far is compared with the next one, and of the near ones only the nearest over all its buckets is confirmed, so a bucket of n
 near copies costs n comparisons and each document one confirmation.  What is apart then is compared with the whole bucket, in
-blocks of sketches inside a task: no pair is a row before its sketches are near.
+blocks of sketches inside a task, which gives the members with a near one in another component; these are compared once more,
+in blocks with their full sets, and a task passes over what its links have joined.  So no pair is a row: rows are members of
+buckets, or the links of a forest over them.
 
 Keys that many rows share (words of copies, centres of stars) are looked up by a broadcast of at most SPREAD of them.
 
@@ -38,6 +40,8 @@ SAMPLES = SKETCH_BITS = 2048
 SLACK = 3.0
 #: Rounds of stars, sketches in a block, and the share of the rows (one in SPREAD) from which on a key is frequent.
 ROUNDS, BLOCK, SPREAD = 2, 2048, 1000
+#: Bytes of a block with full sets, and those of a row besides its set.
+SET_BYTES, ROW_BYTES = 1 << 20, 600
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -153,34 +157,36 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
         for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                good.append(False)
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good.append(similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), percent))
         yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of two blocks of a bucket - its odd members, and any - the pairs (a > b) of different components that look near, each
-    in the first bucket that both are in."""
+def _by_block(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple]:
+    """Of two blocks of a bucket - its odd members, and any -: bucket, main, the blocks, and the places in them of pairs of
+    different components that look near, nearest first.  A pair comes in the first bucket that both are in."""
 
-    def block(column: pa.Array) -> tuple[np.ndarray, ...]:
-        *first, bands, sketch = column.flatten().flatten()  # id, comp, n, samples
+    def block(rows: pa.Array) -> tuple[np.ndarray, ...]:
+        *first, bands, sketch = rows.flatten()[:6]  # id, comp, n, samples
         wide = [x.flatten().to_numpy().reshape(len(x), -1) for x in (bands, sketch)]
         return (*(c.to_numpy() for c in first), wide[0], wide[1].view(np.uint64))
 
     for batch in batches:
-        first, second = [], []
         for i in range(batch.num_rows):
             bucket, main = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            ia, ca, na, ka, ba, sa = block(batch.column(2).slice(i, 1))
-            ib, cb, nb, kb, bb, sb = block(batch.column(3).slice(i, 1))
+            odd, every = (batch.column(k).slice(i, 1).flatten() for k in (2, 3))
+            ia, ca, na, ka, ba, sa = block(odd)
+            ib, cb, nb, kb, bb, sb = block(every)
             for at in range(0, len(ia), 64):
                 part = slice(at, at + 64)
                 u, v = na[part, None].astype(float), nb[None, :].astype(float)
@@ -188,13 +194,60 @@ def _by_block(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                 x = x + at
                 bits = np.bitwise_count(sa[x] ^ sb[y]).sum(axis=1, dtype=np.int64)
                 near = bits <= allowed(na[x].astype(float), nb[y].astype(float), ka[x].astype(float), kb[y].astype(float), percent)
-                x, y = x[near], y[near]
+                x, y, bits = x[near], y[near], bits[near]
                 same = ba[x] == bb[y]
                 mine = ba[x, np.argmax(same, axis=1)] == bucket
-                first.append(np.maximum(ia[x], ib[y])[mine])
-                second.append(np.minimum(ia[x], ib[y])[mine])
-        if first:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
+                order = np.argsort(bits[mine], kind="stable")
+                yield bucket, main, odd, every, x[mine][order], y[mine][order]
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The members of each bucket that look near one of another component, each once: a bucket's blocks come in a row."""
+    now, seen = None, set()
+    for bucket, main, odd, every, x, y in _by_block(batches, percent):
+        if bucket != now:
+            now, seen = bucket, set()
+        for rows, at in ((odd, np.unique(x)), (every, np.unique(y))):
+            ids = rows.field("id").to_numpy()[at].tolist()
+            new = [i not in seen for i in ids]
+            if any(new):
+                seen.update(ids)
+                cols = rows.take(pa.array(at[new])).flatten()
+                both = [pa.array([k] * len(cols[0]), pa.int64()) for k in (bucket, main)]
+                yield pa.RecordBatch.from_arrays([*both, *cols], ["bucket", "main", "id", "comp", "n", "samples", "bands", "sketch"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a > b) between components, confirmed on the full sets.  Pairs that earlier links of the task join are passed over."""
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in up:
+            up[c] = c = up.get(up[c], up[c])
+        return c
+
+    for _, _, odd, every, x, y in _by_block(batches, percent):
+        a, b = [], []
+        ia, ca, sa, ib, cb, sb = (rows.field(k) for rows in (odd, every) for k in ("id", "comp", "shingles"))
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            u, v = root(ca[i].as_py()), root(cb[j].as_py())
+            if u != v and similar(*(np.frombuffer(s.as_buffer(), np.uint64) for s in (sa[i], sb[j])), percent):
+                up[max(u, v)] = min(u, v)
+                ends = ia[i].as_py(), ib[j].as_py()
+                a.append(max(ends))
+                b.append(min(ends))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def in_blocks(rows: DataFrame, *more: str) -> DataFrame:
+    """bucket, main, a block of the bucket's members outside its main component, a block of its members: each with each."""
+    row = F.struct("id", "comp", "n", "samples", "bands", "sketch", *more).alias("row")
+    placed = rows.select("bucket", "main", F.pmod(F.xxhash64("id"), "blocks").alias("block"), row)
+    # the filter comes after the grouping, so that both sides read one shuffle
+    every = placed.groupBy("bucket", "main", "block").agg(F.collect_list("row").alias("all"))
+    odd = every.select("bucket", "main", F.filter("all", lambda r: r.comp != F.col("main")).alias("odd")).where(F.size("odd") > 0)
+    return odd.join(every.select("bucket", "all").hint("merge"), "bucket").select("bucket", "main", "odd", "all")
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
@@ -284,12 +337,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
 
     # what is still apart, against the whole bucket
     open_ = at.join(main.hint("merge"), "bucket").join(reps.withColumnRenamed("n_shingles", "n").hint("merge"), "id")
-    row = F.struct("id", "comp", "n", "samples", "bands", "sketch")
-    placed = open_.select("bucket", "main", "comp", F.pmod(F.xxhash64("id"), "blocks").alias("block"), row.alias("row"))
-    odd = placed.where("comp <> main").groupBy("bucket", "main", "block").agg(F.collect_list("row").alias("odd")).select("bucket", "main", "odd")
-    every = placed.groupBy("bucket", "block").agg(F.collect_list("row").alias("all")).select("bucket", "all")
-    pairs = odd.join(every.hint("merge"), "bucket").select("bucket", "main", "odd", "all").mapInArrow(lambda it: _by_block(it, percent), "a long, b long")
-    more = confirm(materialize(pairs.distinct(), "again"), sets, percent)
+    kind = "bucket long, main long, id long, comp long, n long, samples int, bands array<long>, sketch array<long>"
+    near = in_blocks(open_).mapInArrow(lambda it: _near_rows(it, percent), kind)
+    near = materialize(near.dropDuplicates(["bucket", "id"]), "again")
+    blocks = near.groupBy("bucket").agg(F.ceil(F.sum(F.col("n") * 8 + ROW_BYTES) / SET_BYTES).alias("blocks"))
+    whole = near.join(blocks.hint("merge"), "bucket").join(sets.hint("merge"), "id")
+    more = materialize(in_blocks(whole, "shingles").mapInArrow(lambda it: _forest(it, percent), "a long, b long"), "links")
     if more.limit(1).count():
         comp = components(links.union(more))
     placed = member.join(comp.select(F.col("id").alias("rep"), "comp").hint("merge"), "rep", "left")
