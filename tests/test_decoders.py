@@ -1,10 +1,13 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.keys import camel_key
+from tidewater.operators import yaml_tree
 from tidewater.operators.json_decode import Syntax, as_partial, checked_partials, decode, partial_type
-from tidewater.operators.yaml_tree import to_json, yaml_partials
+from tidewater.operators.yaml_tree import to_json, yaml_decoded, yaml_partials
 from tidewater.streaming.chunks import _fold
 
 
@@ -86,6 +89,39 @@ def test_yaml_lines():
     assert to_json("- " * 5_000 + "1")[0].count("[") == 5_000
 
 
+def test_yaml_steps_are_kept(spark, monkeypatch):
+    kind = yaml_tree._kind(T._parse_datatype_string("id bigint, l array<struct<n:int,q:struct<v:bigint>,f:array<string>,t:string>>"))
+    line = "  - n: 1  # c\n    q: {v: 2, u: p}\n    f: [N, O]\n    t: |\n      a\n\n      b\n"
+    texts = [f"id: {i}\nl:\n" + line * (1 + i % 7) for i in range(1_000)]
+    plain = yaml_tree.Plain(kind)
+    got = [plain.read(t) for t in texts]
+    # one new step a text, for its id
+    assert [json.loads(g)["v"] for g in got] == [json.loads(to_json(t)[0]) for t in texts] and plain.used < 1_100
+    monkeypatch.setattr(yaml_tree.Plain, "ROOM", 50)
+    plain = yaml_tree.Plain(kind)
+    assert [plain.read(t) for t in texts] == got and len(plain.states) <= 50
+
+
+def test_plain_yaml_is_decoded_alike_on_both_ways(spark, monkeypatch):
+    schema = "a bigint, s string, l array<struct<n:tinyint,f:array<string>>>, d double, b boolean"
+    plain = [
+        "a: 7\nl:\n- n: 1\n  f: [x, \"y, z\"]\n-\n  f: []\nb: true\nd: 1.25", "s: >\n\n  q w\n  e\n\n\n   \\ \"r\nl: [{n: -128}]\nd: 3", "zz: {a: [null, 1.5]}\na: 1 # c\ns: |\n x\n\n\ny: 2", 's: "é \\n😀"\na: -3\n\n# c\n',
+    ]
+    other = [
+        "a: 7\na: 8", "a: null\ns: x", "zz: 1", "l:\n- zz: 1\n- n: 2", "l: [{}]", "a: -0\nd: -0", "a: 07", "a: 1.0", "a: 9223372036854775808", "l: [{n: 128}]", "s: 5", "s: true", "d: .5", "d: NaN", "d: 1e400", "d: 12345678901234567890.5", "b: tru",
+        's: "\\u0041"', 's: "\\q"', 's: "t\tx"', '"\\u0061": 1\nb: true', "s: |\n  x\n y\nb: true", "s: |\n   \n  x", "s: |\nb: true", "s: |\n  x\n\t\n  y", "a: 1\nl: [{n: 1},\n {n: 2}]\nb: true", "a: [1", "a: 1\n b: true", "l: {n: 1}", "", "# c", "x", None, "zz: " + "[" * 1500 + "]" * 1500 + "\na: 1",
+    ]
+    reader = yaml_tree.Plain(yaml_tree._kind(T._parse_datatype_string(schema)))
+    assert all(reader.read(t) for t in plain) and not any(t is not None and reader.read(t) for t in other)
+    df = spark.createDataFrame(list(enumerate(plain + other)), "k int, t string")
+    read = lambda: [r.d for r in yaml_decoded(df, F.col("t"), schema, "d").orderBy("k").collect()]
+    got = read()
+    assert got[0].value.asDict(recursive=True) == {"a": 7, "s": None, "l": [{"n": 1, "f": ["x", "y, z"]}, {"n": None, "f": []}], "d": 1.25, "b": True}
+    assert all(d.error is None and d.nulls == [] for d in got[:4])
+    monkeypatch.setattr(yaml_tree, "_kind", lambda kind: None)
+    assert repr(got) == repr(read())
+
+
 def test_yaml_states(spark):
     df = spark.createDataFrame([(1, "- 6\n- 7"), (2, "n:\n  - 6\n  - 7")], "k int, t string")
     got = yaml_partials(df.where("k = 1"), "k", "t", "array<bigint>").orderBy("seq").collect()
