@@ -94,14 +94,30 @@ def test_yaml_steps_are_kept(spark, monkeypatch):
     line = "  - n: 1  # c\n    q: {v: 2, u: p}\n    f: [N, O]\n    t: |\n      a\n\n      b\n"
     texts = [f"id: {i}\nl:\n" + line * (1 + i % 7) for i in range(1_000)]
     plain = yaml_tree.Plain(kind)
+    fresh, read = [], yaml_tree._State.read
+    monkeypatch.setattr(yaml_tree._State, "read", lambda self, line: fresh.append(line) or read(self, line))
     got = [plain.read(t) for t in texts]
-    # one new step a text, for its id
+    # one new step a text, for its id, and that from another id of as many digits
+    assert len(fresh) < 30
     assert [json.loads(g)["v"] for g in got] == [json.loads(to_json(t)[0]) for t in texts] and plain.used < 1_100
     monkeypatch.setattr(yaml_tree.Plain, "ROOM", 50)
     plain = yaml_tree.Plain(kind)
     assert [plain.read(t) for t in texts] == got and len(plain.states) <= 50
 
 
+def test_yaml_lines_of_one_form_are_read_alike(spark, monkeypatch):
+    lines = ["5", "123", "127", "128", "999999999999999999", "9999999999999999999", "x", "q r.", "tru", "true", "null", '""', '"a # b"', '"a: b"', "a: b", "a # b", "a:b", "k: x", '"x" # c', "x\u2003", "x\x85y", "- 5", "a, b]", "q\"r"]
+    texts = [head + line + tail for head in ("", "- ", "a: ", "n: ", "s: ", "z: ", "s: |\n  ", "s: >\n  k: ", "z: |\n  - ", "s: |\n  w\n") for line in lines for tail in ("", "\nb: true")]
+    for schema in ("a bigint, n tinyint, s string, b boolean", "array<string>", "string", "array<tinyint>"):
+        kind = yaml_tree._kind(T._parse_datatype_string(schema))
+        with monkeypatch.context() as m:
+            m.setattr(yaml_tree._State, "alike", lambda self, line: None)
+            plain = yaml_tree.Plain(kind)
+            want = [plain.read(t) for t in texts]
+        plain = yaml_tree.Plain(kind)
+        assert [plain.read(t) for t in texts] == want and any(want)
+
+
 def test_plain_yaml_is_decoded_alike_on_both_ways(spark, monkeypatch):
     schema = "a bigint, s string, l array<struct<n:tinyint,f:array<string>>>, d double, b boolean"
     plain = [
